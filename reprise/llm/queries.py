@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reprise.llm import split
+from reprise.llm import pack, quantiles, split
 from reprise.llm.sql import ORACLES  # noqa: F401
 from reprise.session import table
 
@@ -18,4 +19,49 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_records(table(spark, sf_dir, "source_records"), table(spark, sf_dir, "transform_configs"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces}
+def p4_daily_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ttft_ms per dataset, transform and day."""
+    return quantiles.digests(quantiles.request_times(table(spark, sf_dir, "request_metrics")), ["dataset", "transform", "day"], "ttft_ms")
+
+
+def p4_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of ttft_ms per dataset, transform and day."""
+    return quantiles.percentiles(p4_daily_digest(spark, sf_dir), ["dataset", "transform", "day"])
+
+
+def p4_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of ttft_ms per dataset and transform, out of the days' digests."""
+    keys = ["dataset", "transform"]
+    return quantiles.percentiles(quantiles.merge(p4_daily_digest(spark, sf_dir), keys), keys)
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's, or piece's, container for each budget."""
+    return pack.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_budgets"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that exceed a budget's capacity by themselves."""
+    return pack.oversized(p7_packed(spark, sf_dir))
+
+
+def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_packed(spark, sf_dir).groupBy("budget_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.count("*").alias("n_pieces"), F.sum("tokens").alias("n_tokens"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used by each budget against the fewest possible."""
+    return pack.fill_report(p7_packed(spark, sf_dir), table(spark, sf_dir, "pack_budgets"))
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
+    "p4_daily": p4_daily,
+    "p4_daily_digest": p4_daily_digest,
+    "p4_period": p4_period,
+    "p7_found": p7_found,
+    "p7_packed": p7_packed,
+    "p7_totals": p7_totals,
+    "p7_fill": p7_fill,
+}

@@ -27,4 +27,37 @@ SELECT source_id, CASE WHEN p <= lim THEN 'blank_line' WHEN q <= lim THEN 'sente
 FROM worst
 """
 
-ORACLES: dict[str, str] = {"p3_found": _P3}
+_P7_SIZES = r"""
+WITH sizes AS (
+  SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]')) AS n FROM documents)
+"""
+
+_P7 = _P7_SIZES + "SELECT budget_id, doc_id FROM sizes JOIN pack_budgets ON n > capacity_tokens"
+
+_P7_TOTALS = _P7_SIZES + """
+SELECT budget_id, count(DISTINCT doc_id) AS n_documents, sum(greatest(1, ceil(n / capacity_tokens)))::BIGINT AS n_pieces, sum(n)::BIGINT AS n_tokens
+FROM sizes CROSS JOIN pack_budgets GROUP BY 1
+"""
+
+# Holds as long as no group is large enough for its digest to be compressed.
+_P4 = """
+WITH once AS (
+  SELECT engine_request_id, min(dataset) AS dataset, min(transform) AS transform, min(started_at)::DATE AS day, min(ttft_ms) AS x
+  FROM request_metrics WHERE ttft_ms IS NOT NULL AND NOT isnan(ttft_ms) GROUP BY 1),
+powers AS (SELECT *, floor(log2(x)) AS e0 FROM once),
+exact AS (SELECT *, e0 + CASE WHEN x >= pow(2, e0 + 1) THEN 1 WHEN x < pow(2, e0) THEN -1 ELSE 0 END AS e FROM powers),
+leaves AS (
+  SELECT dataset, transform, day, CASE WHEN x < pow(2, -8) THEN 0 WHEN x >= pow(2, 24) THEN 65535 ELSE (e + 8) * 2048 + floor((x / pow(2, e) - 1) * 2048) END AS leaf FROM exact),
+sorted AS (SELECT {keys}, list_sort(list(leaf)) AS l, count(*) AS n FROM leaves GROUP BY {keys})
+SELECT {keys}, n AS n_values, {values}, 0::BIGINT AS rank_error FROM sorted
+"""
+_AT = "pow(2, floor(l[ceil(n * {p} / 100)::BIGINT] / 2048) - 8) * (1 + (l[ceil(n * {p} / 100)::BIGINT] % 2048 + 0.5) / 2048) AS p{p}"
+_P4_VALUES = ", ".join(_AT.format(p=p) for p in (50, 90, 95, 99))
+
+ORACLES: dict[str, str] = {
+    "p3_found": _P3,
+    "p4_daily": _P4.format(keys="dataset, transform, day", values=_P4_VALUES),
+    "p4_period": _P4.format(keys="dataset, transform", values=_P4_VALUES),
+    "p7_found": _P7,
+    "p7_totals": _P7_TOTALS,
+}
