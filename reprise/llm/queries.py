@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reprise.llm import pack, quantiles, split
+from reprise.llm import leaks, pack, quantiles, split
 from reprise.llm.sql import ORACLES  # noqa: F401
 from reprise.session import table
 
@@ -54,6 +54,19 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.fill_report(p7_packed(spark, sf_dir), table(spark, sf_dir, "pack_budgets"))
 
 
+def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation items that leaked into them, and where."""
+    return leaks.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_matches(spark, sf_dir).select("doc_id", "eval_id").distinct()
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_documents(p8_matches(spark, sf_dir))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
@@ -64,4 +77,7 @@ QUERIES = {
     "p7_packed": p7_packed,
     "p7_totals": p7_totals,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_matches": p8_matches,
+    "p8_documents": p8_documents,
 }
