@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reprise.llm import leaks, pack, quantiles, split
+from reprise.llm import leaks, neardup, pack, quantiles, spans, split
 from reprise.llm.sql import ORACLES  # noqa: F401
 from reprise.session import table
 
@@ -67,7 +69,56 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_documents(p8_matches(spark, sf_dir))
 
 
+def _item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipient prompt and donor texts of each distinct item."""
+    items = table(spark, sf_dir, "workload_items").select("item_id", "recipient_prompt", "donor_prompts")
+    own = items.select(F.col("item_id").alias("record_id"), F.lit("recipient").alias("part"), F.col("recipient_prompt").alias("text"))
+    donors = items.select(F.col("item_id").alias("record_id"), F.posexplode("donor_prompts").alias("n", "d"))
+    return own.union(donors.select("record_id", F.concat(F.lit("donor "), "n"), "d.text")).dropDuplicates(["record_id", "part"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items whose prompts or donor texts share a stretch of 240 characters."""
+    return spans.SharedSpans(_item_texts(spark, sf_dir)).record_pairs().toDF("item_id_a", "item_id_b")
+
+
+def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each prompt and donor text, how much other items hold too."""
+    return spans.SharedSpans(_item_texts(spark, sf_dir)).coverage()
+
+
+def p1_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared stretches between classes of equal texts, with offsets."""
+    return spans.SharedSpans(_item_texts(spark, sf_dir)).stretches
+
+
+def p1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of prompts and donor texts; all but the earliest of equal ones are marked for removal."""
+    return spans.line_units(_item_texts(spark, sf_dir), "line", least=20)
+
+
+def _prompts(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
+    items = table(spark, sf_dir, "workload_items").select(F.col("item_id").alias("id"), F.col("recipient_prompt").alias("text"))
+    return neardup.NearDuplicates(items.dropDuplicates(["id"]), words=3, similarity=Fraction(3, 5))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items whose prompts share 0.6 of their sequences of three words."""
+    return _prompts(spark, sf_dir).pairs().toDF("item_id_a", "item_id_b")
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item with its class, its group of near-duplicates and its number of links."""
+    return _prompts(spark, sf_dir).groups()
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_coverage": p1_coverage,
+    "p1_stretches": p1_stretches,
+    "p1_lines": p1_lines,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_daily": p4_daily,
