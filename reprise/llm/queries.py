@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reprise.llm import leaks, neardup, pack, quantiles, spans, split
+from reprise.llm import langid, leaks, neardup, pack, quantiles, spans, split
 from reprise.llm.sql import ORACLES  # noqa: F401
 from reprise.session import table
 
@@ -112,6 +112,17 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prompts(spark, sf_dir).groups()
 
 
+def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, confidence and stretches."""
+    documents = table(spark, sf_dir, "documents")
+    return langid.label_documents(documents, langid.fit(langid.sample_texts(documents)))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose label is missing or wrong, or that mix languages."""
+    return langid.wrong_labels(p9_languages(spark, sf_dir))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_coverage": p1_coverage,
@@ -131,4 +142,6 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_matches": p8_matches,
     "p8_documents": p8_documents,
+    "p9_found": p9_found,
+    "p9_languages": p9_languages,
 }
