@@ -102,11 +102,11 @@ class Alphabet:
         return self.table[np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), np.uint32)].astype(np.int64)
 
 
-def _grams(ids: np.ndarray, order: int) -> np.ndarray:
-    """Keys of all n-grams within words; a boundary stands at an n-gram's first or last place only."""
+def _grams(ids: np.ndarray, order: int, places: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """Keys of all n-grams within words, and if wanted where they start; a boundary stands at an n-gram's first or last place only."""
     n = len(ids) - order + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 2 if places else np.zeros(0, np.int64)
     key, inner = np.zeros(n, np.int64), np.ones(n, bool)
     for k in range(order):
         x = ids[k : k + n]
@@ -117,6 +117,10 @@ def _grams(ids: np.ndarray, order: int) -> np.ndarray:
         inner &= ~((ids[:n] == 0) & (ids[order - 1 :] == 0)) | (order > 2)
     else:
         inner[0] = False  # the boundary before the first word is given, not drawn
+    if places:
+        # A single character is placed in its word; the boundary after a word, at its last character.
+        at = np.flatnonzero(inner)
+        return key[inner], np.maximum(at - 1, 0) if order == 1 else np.minimum(at, len(ids) - 2)
     return key[inner]
 
 

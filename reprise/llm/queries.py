@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reprise.llm import langid, leaks, neardup, pack, quantiles, spans, split
+from reprise.llm import langid, leaks, neardup, pack, pairs, quantiles, spans, split
 from reprise.llm.sql import ORACLES  # noqa: F401
 from reprise.session import table
 
@@ -123,6 +123,19 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.wrong_labels(p9_languages(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective outputs of requests and first answers of items, with the kind of defect."""
+    items = table(spark, sf_dir, "workload_items").select("item_id", "input", "answers", "recipient_prompt").dropDuplicates(["item_id"])
+    first = F.when(F.size("answers") > 0, F.col("answers")[0])
+    columns = (F.col("input").alias("prompt"), F.col("item_id").alias("context_id"))
+    answers = items.select(F.col("item_id").alias("record_id"), *columns, first.alias("response"))
+    requests = table(spark, sf_dir, "request_metrics").where("error IS NULL").select("engine_request_id", "item_id", "output_text")
+    outputs = requests.join(items.select("item_id", "input"), "item_id", "left").select(F.col("engine_request_id").alias("record_id"), *columns, F.col("output_text").alias("response"))
+    sample = langid.sample_texts(table(spark, sf_dir, "documents"))
+    contexts = items.select(F.col("item_id").alias("context_id"), F.col("recipient_prompt").alias("context"))
+    return pairs.pair_defects(outputs.unionByName(answers), sample, contexts)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_coverage": p1_coverage,
@@ -144,4 +157,5 @@ QUERIES = {
     "p8_documents": p8_documents,
     "p9_found": p9_found,
     "p9_languages": p9_languages,
+    "p6_found": p6_found,
 }
