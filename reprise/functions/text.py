@@ -40,7 +40,7 @@ def ids_digest(ids: Column) -> Column:
 
 
 def blocks(ids: Column, size: int) -> Column:
-    """Full blocks of `size` ids; what is left at the end is dropped."""
+    """Full blocks of `size` ids; what is left at the end is dropped. `ids` should be a plain column."""
     n = F.floor(F.size(ids) / size).cast("int")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(ids, i * size + 1, size))).otherwise(F.array().cast("array<array<bigint>>"))
 

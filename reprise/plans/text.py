@@ -46,8 +46,8 @@ def sf01_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sf03_block_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = views.sources(spark, sf_dir).select("source_id", T.blocks(T.token_ids(F.col("context")), 16).alias("blocks"))
-    return ids.select("source_id", F.posexplode("blocks").alias("block_no", "b")).select("source_id", F.col("block_no").cast("bigint").alias("block_no"), T.ids_digest(F.col("b")).alias("block_hash"))
+    ids = views.sources(spark, sf_dir).select("source_id", T.token_ids(F.col("context")).alias("ids"))
+    return ids.select("source_id", T.blocks(F.col("ids"), 16).alias("blocks")).select("source_id", F.posexplode("blocks").alias("block_no", "b")).select("source_id", F.col("block_no").cast("bigint").alias("block_no"), T.ids_digest(F.col("b")).alias("block_hash"))
 
 
 def sf04_stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
