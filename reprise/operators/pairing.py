@@ -146,3 +146,26 @@ def miss_tax(paired: DataFrame, capture: bool = False) -> DataFrame:
         said(F.count_if(silent & ~missed)).alias("pairs_outside_class"),
         F.count_if("control").alias("pairs_control"),
     )
+
+
+def propagation(paired: DataFrame, warm: DataFrame, similarity) -> DataFrame:
+    """(status, n): what became of each clean probe pair.
+
+    A probe names a parent item; it is propagated if its warm answer is more similar to what the
+    parent was served in the warm arm than to its own cold answer. `similarity` is a function of two
+    columns. The rest is left out for the first reason that applies: unlinked, no_served_answer,
+    no_warm_answer, no_cold_answer; pairs that are not clean are counted as unclean.
+    """
+    probe = F.coalesce(F.nullif("cold.traffic_class", F.lit("")), F.nullif("cold.transform", F.lit("")), F.lit("")) == S.PROBE
+    p = paired.where(probe).select("item_id", "status", F.coalesce(F.nullif("warm.parent_item_id", F.lit("")), F.nullif("cold.parent_item_id", F.lit(""))).alias("parent"), F.nullif("warm.output_text", F.lit("")).alias("warm_text"), F.nullif("cold.output_text", F.lit("")).alias("cold_text"))
+    served = warm.select(F.col("item_id").alias("parent"), F.nullif("output_text", F.lit("")).alias("served"))
+    j = p.join(served, "parent", "left")
+    status = (
+        F.when(F.col("status") != "clean", "unclean")
+        .when(F.col("parent").isNull(), "unlinked")
+        .when(F.col("served").isNull(), "no_served_answer")
+        .when(F.col("warm_text").isNull(), "no_warm_answer")
+        .when(F.col("cold_text").isNull(), "no_cold_answer")
+    )
+    scored = j.withColumn("out", status).withColumn("a", similarity("warm_text", "served")).withColumn("b", similarity("warm_text", "cold_text"))
+    return scored.groupBy(F.coalesce("out", F.when(F.col("a") > F.col("b"), "propagated").otherwise("kept")).alias("status")).agg(F.count("*").alias("n"))

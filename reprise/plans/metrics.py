@@ -126,6 +126,14 @@ def ag21_capture_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.miss_tax(pairing.pairs(_stamped(spark, sf_dir).where("arm IN ('cold', 'warm')")), capture=True)
 
 
+def ag25_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Propagation, with reworded documents as probes and the dataset's first item as their parent."""
+    r = _unaudited(spark, sf_dir).where("arm IN ('cold', 'warm')")
+    first = views.items(spark, sf_dir).groupBy("dataset").agg(F.min("item_id").alias("parent_item_id"))
+    probes = r.withColumn("traffic_class", F.when(F.col("traffic_class") == "reworded_doc", S.PROBE).otherwise(F.col("traffic_class"))).join(first, "dataset", "left")
+    return pairing.propagation(pairing.pairs(probes), pairing.last_rows(r).where("arm = 'warm'"), rouge_l)
+
+
 def ag01_per_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums, confirmed mass, rates, lifts and negative controls of each arm."""
     return metrics.per_arm(rows(spark, sf_dir))
@@ -245,7 +253,7 @@ _PROMISED = "coalesce(sum(audit_advertised_tokens), 0)::BIGINT"
 
 QUERIES = {
     f.__name__: f
-    for f in (prj01_traffic_classes, prj02_signals, prj06_audit_classes, prj18_expectations, ag18_class_counts, jn01_join_arms, ag37_pairing_report, wf03_duplicates, wf04_replay_plan, jn04_pair_status, jn04_clean_pairs, ag20_paired_summary, ag20_mechanisms, ag20_output_rouge, ag21_miss_tax, ag21_capture_tax, ag01_per_arm, ag09_by_transform, ag06_routes, ag08_rope_buckets, ag10_alignment, ag11_breakdowns, ag12_strata, ag15_materialised, ag17_presence, jn06_stamped)
+    for f in (prj01_traffic_classes, prj02_signals, prj06_audit_classes, prj18_expectations, ag18_class_counts, jn01_join_arms, ag37_pairing_report, wf03_duplicates, wf04_replay_plan, jn04_pair_status, jn04_clean_pairs, ag20_paired_summary, ag20_mechanisms, ag20_output_rouge, ag21_miss_tax, ag21_capture_tax, ag25_propagation, ag01_per_arm, ag09_by_transform, ag06_routes, ag08_rope_buckets, ag10_alignment, ag11_breakdowns, ag12_strata, ag15_materialised, ag17_presence, jn06_stamped)
 }
 ORACLES = {
     "prj01_traffic_classes": f"WITH {ROWS_SQL} SELECT {_CLASS} AS traffic_class, count(*) AS n_rows FROM rows_ GROUP BY 1",
