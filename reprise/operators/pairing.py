@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reprise.functions.selection import exact_percentiles
 from reprise.operators import signals as S
+from reprise.session import materialise
 
 FINGERPRINT = ("dataset", "transform", "negative_control", "donor_count", "total_blocks")
 
@@ -90,34 +92,49 @@ def status_counts(paired: DataFrame) -> DataFrame:
     return paired.groupBy("status").agg(F.count("*").alias("n_pairs"))
 
 
+def _with_percentiles(flat: DataFrame, counts: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """`counts` (one row) with exact percentiles: name -> (value, null where it doesn't count; p)."""
+    named = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), x.cast("double").alias("v")) for name, (x, _) in wanted.items()))).alias("m")
+    values = flat.select(named).select("m.name", "m.v")
+    levels = sorted({p for _, p in wanted.values()})
+    found = exact_percentiles(values, "name", "v", {f"q{i}": p for i, p in enumerate(levels)})
+    # A handful of rows, one per name, turned into one.
+    wide = found.agg(*(F.max(F.when(F.col("name") == name, F.col(f"q{levels.index(p)}"))).alias(name) for name, (_, p) in wanted.items()))
+    return counts.join(F.broadcast(wide))
+
+
 def summary(flat: DataFrame) -> DataFrame:
     """One row: times per arm, speedups of blended, hit-only and control pairs, hit accounting."""
+    flat = materialise(flat.drop("cold_text", "warm_text"))
     t, blended, control = F.col("timed"), F.col("timed") & ~F.col("control"), F.col("timed") & F.col("control")
     any_hit = F.coalesce("hit", "legacy_hit")
-    pct = lambda x, p, when: F.percentile(F.when(when, F.col(x)), p)
-    mean = lambda x, when: F.avg(F.when(when, F.col(x)))
+    when = lambda c, x: F.when(c, F.col(x))
+    mean = lambda x, c: F.avg(F.when(c, F.col(x)))
     n = F.count_if
-    return flat.agg(
+    counts = flat.agg(
         n(t).alias("pairs_used"),
-        pct("cold_ms", 0.5, t).alias("cold_p50_ms"),
-        pct("cold_ms", 0.95, t).alias("cold_p95_ms"),
-        pct("warm_ms", 0.5, t).alias("warm_p50_ms"),
-        pct("warm_ms", 0.95, t).alias("warm_p95_ms"),
-        pct("ratio", 0.5, blended).alias("blended_median"),
         mean("ratio", blended).alias("blended_mean"),
         S.rate(n(blended & any_hit), n(blended)).alias("hit_rate"),
         S.rate(n(blended & F.coalesce("hit", F.lit(False))), n(blended & F.col("hit").isNotNull())).alias("hit_rate_confirmed"),
         n(blended & F.col("hit").isNotNull()).alias("pairs_confirmed"),
         n(blended & F.col("hit").isNull()).alias("pairs_unconfirmed"),
         n(blended & F.col("hit").isNull() & F.col("legacy_hit")).alias("hits_unverified"),
-        pct("ratio", 0.5, blended & any_hit).alias("hit_only_median"),
         mean("ratio", blended & any_hit).alias("hit_only_mean"),
         n(control).alias("control_pairs"),
-        pct("ratio", 0.5, control).alias("control_median"),
         mean("ratio", control).alias("control_mean"),
-        F.percentile("cold_queue_ms", 0.5).alias("cold_queue_p50_ms"),
-        F.percentile("warm_queue_ms", 0.5).alias("warm_queue_p50_ms"),
     )
+    wanted = {
+        "cold_p50_ms": (when(t, "cold_ms"), 0.5),
+        "cold_p95_ms": (when(t, "cold_ms"), 0.95),
+        "warm_p50_ms": (when(t, "warm_ms"), 0.5),
+        "warm_p95_ms": (when(t, "warm_ms"), 0.95),
+        "blended_median": (when(blended, "ratio"), 0.5),
+        "hit_only_median": (when(blended & any_hit, "ratio"), 0.5),
+        "control_median": (when(control, "ratio"), 0.5),
+        "cold_queue_p50_ms": (F.col("cold_queue_ms"), 0.5),
+        "warm_queue_p50_ms": (F.col("warm_queue_ms"), 0.5),
+    }
+    return _with_percentiles(flat, counts, wanted)
 
 
 def miss_tax(paired: DataFrame, capture: bool = False) -> DataFrame:
@@ -127,18 +144,15 @@ def miss_tax(paired: DataFrame, capture: bool = False) -> DataFrame:
     population to traffic without reuse.
     """
     w = paired.where("status = 'clean'").select(F.coalesce("cold.negative_control", F.lit(False)).alias("control"), F.col("cold.ttft_ms").alias("cold_ms"), (_given("cold.ttft_ms") & _given("warm.ttft_ms")).alias("timed"), "warm.*")
+    w = materialise(w.drop("output_text"))
     measured = ~F.col("control") & F.coalesce("audit_joined", F.lit(False))
     silent = measured & (S.zero("audit_advertised_tokens") == 0)
     missed = silent & (S.traffic_class() == S.NO_REUSE) if capture else silent
     used = missed & F.col("timed")
     joined = F.coalesce(F.bool_or(F.col("audit_joined").isNotNull()), F.lit(False))
     said = lambda x: F.when(joined, x)
-    median = lambda x: F.percentile(F.when(used, x), 0.5)
-    return w.agg(
-        said(median(F.col("ttft_ms")) - median(F.col("cold_ms"))).alias("miss_tax_ms"),
-        said(median(F.col("ttft_ms") - F.col("cold_ms"))).alias("median_of_differences_ms"),
-        said(median(F.col("ttft_ms"))).alias("warm_p50_ms"),
-        said(median(F.col("cold_ms"))).alias("cold_p50_ms"),
+    counts = w.agg(
+        joined.alias("joined"),
         said(F.count_if(used)).alias("pairs"),
         said(F.count_if(missed & ~F.col("timed"))).alias("pairs_without_times"),
         said(F.count_if(measured & ~silent)).alias("pairs_advertising"),
@@ -146,6 +160,11 @@ def miss_tax(paired: DataFrame, capture: bool = False) -> DataFrame:
         said(F.count_if(silent & ~missed)).alias("pairs_outside_class"),
         F.count_if("control").alias("pairs_control"),
     )
+    value = lambda x: F.when(used, x)
+    wanted = {"warm_p50_ms": (value(F.col("ttft_ms")), 0.5), "cold_p50_ms": (value(F.col("cold_ms")), 0.5), "median_of_differences_ms": (value(F.col("ttft_ms") - F.col("cold_ms")), 0.5)}
+    out = _with_percentiles(w, counts, wanted).withColumn("miss_tax_ms", F.col("warm_p50_ms") - F.col("cold_p50_ms"))
+    measures = ("miss_tax_ms", *wanted)
+    return out.select(*(F.when(F.col("joined"), F.col(m)).alias(m) for m in measures), *(c for c in counts.columns if c != "joined"))
 
 
 def propagation(paired: DataFrame, warm: DataFrame, similarity) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reprise.operators.ordinals import running_sum, with_ordinal
+
 
 def in_flight(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: wall, busy and idle seconds and the most requests at once, of rows (start_s, end_s).
@@ -12,10 +16,13 @@ def in_flight(rows: DataFrame, keys: list[str]) -> DataFrame:
     A sweep over starts and ends; a request that ends when another starts has ended first.
     """
     marks = rows.select(*keys, F.explode(F.array(F.struct(F.col("start_s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_s").alias("t"), F.lit(-1).alias("d")))).alias("m")).select(*keys, "m.t", "m.d")
-    by = marks.groupBy(*keys, "t").agg(F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("up"), F.sum(F.when(F.col("d") < 0, 1).otherwise(0)).alias("down"))
-    w = Window.partitionBy(*keys).orderBy("t")
-    run = by.withColumn("n", F.sum(F.col("up") - F.col("down")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("gap", F.lead("t").over(w) - F.col("t"))
-    return run.groupBy(*keys).agg((F.max("t") - F.min("t")).alias("wall_s"), F.max("n").alias("most_at_once"), F.coalesce(F.sum(F.when(F.col("n") == 0, F.col("gap"))), F.lit(0.0)).alias("idle_s"))
+    by = marks.groupBy(*keys, "t").agg(F.sum("d").alias("d"))
+    # One running sum over all keys: starts and ends of a key cancel out, so it is 0 where the next begins.
+    run = with_ordinal(running_sum(by.select(F.struct(*keys, "t").alias("o"), "d"), "o", "d", "n"), "o").select("ordinal", "o.*", "n")
+    after = run.select((F.col("ordinal") - 1).alias("ordinal"), *(F.col(k).alias(f"_{k}") for k in keys), F.col("t").alias("_t"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    gap = F.when(reduce(Column.__and__, same), F.col("_t") - F.col("t"))
+    return run.join(after, "ordinal", "left").groupBy(*keys).agg((F.max("t") - F.min("t")).alias("wall_s"), F.max("n").alias("most_at_once"), F.coalesce(F.sum(F.when(F.col("n") == 0, gap)), F.lit(0.0)).alias("idle_s"))
 
 
 def gap_shortfall(rows: DataFrame, keys: list[str], unit: str, least: int) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reprise.functions.rouge import rouge_l
 from reprise.operators import audit, metrics, pairing
 from reprise.operators import signals as S
+from reprise.operators.ordinals import with_ordinal
 from reprise.plans import views
 from reprise.plans.audit import FOLD_SQL, RESOLVED_SQL, events
 from reprise.plans.views import REQUESTS_SQL
@@ -72,8 +73,6 @@ def jn01_join_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ag37_pairing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     j = jn01_join_arms(spark, sf_dir)
     first = F.row_number().over(Window.partitionBy("status").orderBy("item_id"))  # ten per status, limited before the shuffle
     shown = j.withColumn("k", first).where("k <= 10").groupBy("status").agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("preview"))
@@ -86,10 +85,10 @@ def wf03_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wf04_replay_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cold and warm steps of the items of each dataset, in the order of their ids: 2i and 2i + 1."""
-    from pyspark.sql import Window
-
-    i = views.items(spark, sf_dir).select("dataset", "item_id", (F.row_number().over(Window.partitionBy("dataset").orderBy("item_id")) - 1).alias("i"))
-    return i.select("dataset", "item_id", F.posexplode(F.array(F.lit("cold"), F.lit("warm"))).alias("k", "arm"), "i").select("dataset", "item_id", "arm", (F.col("i") * 2 + F.col("k")).cast("bigint").alias("position"))
+    i = with_ordinal(views.items(spark, sf_dir).select(F.struct("dataset", "item_id").alias("o")), "o").select("o.dataset", "o.item_id", "ordinal")
+    first = i.groupBy("dataset").agg(F.min("ordinal").alias("first"))
+    step = i.join(first, "dataset").select("dataset", "item_id", (F.col("ordinal") - F.col("first")).alias("i"))
+    return step.select("dataset", "item_id", F.posexplode(F.array(F.lit("cold"), F.lit("warm"))).alias("k", "arm"), "i").select("dataset", "item_id", "arm", (F.col("i") * 2 + F.col("k")).alias("position"))
 
 
 def jn04_pair_status(spark: SparkSession, sf_dir: str) -> DataFrame:

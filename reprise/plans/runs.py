@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reprise.functions import stats
 from reprise.functions import text as T
+from reprise.functions.selection import exact_percentiles
 from reprise.operators import logs, pairing, timeline
 from reprise.plans import metrics as M
 from reprise.plans import views
@@ -115,7 +116,10 @@ def ag35_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = pairing.pairs(M._unaudited(spark, sf_dir).where("arm IN ('cold', 'warm')")).where("status = 'clean'")
     band = F.when(F.col("cold.prompt_tokens") < 300, "short").when(F.col("cold.prompt_tokens") < 900, "middle").otherwise("long")
     s = flat.select(band.alias("band"), (F.col("cold.ttft_ms") / F.col("warm.ttft_ms")).alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
-    return s.rollup("band").agg(F.count("*").alias("n_pairs"), F.avg("x").alias("mean"), F.percentile("x", 0.05).alias("p05"), F.percentile("x", 0.5).alias("p50"))
+    every = s.select(F.explode(F.array("band", F.lit(None).cast("string"))).alias("band"), "x")
+    ranks = exact_percentiles(every, "band", "x", {"p05": 0.05, "p50": 0.5}).withColumnRenamed("band", "b").drop("n")
+    means = s.rollup("band").agg(F.count("*").alias("n_pairs"), F.avg("x").alias("mean"))
+    return means.join(ranks, F.col("band").eqNullSafe(F.col("b"))).drop("b")
 
 
 def mf03_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
