@@ -18,6 +18,7 @@ TRANSFORMS = {
     "tx01": "exact_repeat", "tx02": "instruction_variant", "tx03": "same_evidence_new_task", "tx04": "leading_evidence_new_task",
     "tx05": "rag_reorder", "tx06": "multi_donor_composite", "tx07": "fuzzy_edit", "tx08": "negative_control",
     "tx09": "entity_swap_control", "tx10": "repeat_shifted", "tx11": "question_paraphrase", "tx12": "sparse_edit",
+    "tx13": "fact_paraphrase",
 }
 
 
@@ -28,6 +29,13 @@ def _built(transform: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("item_id", "source_id", "transform", donor.alias("donors"), F.md5("recipient").alias("recipient"), F.length("recipient").cast("bigint").alias("n_chars"), "negative_control")
 
 
+def _probed(transform: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fact probes of a kind that no dataset of the tables asks for, on all sources."""
+    configs = table(spark, sf_dir, "transform_configs").withColumn("transforms", F.array(F.lit(transform)))
+    i = W.build(views.sources(spark, sf_dir), configs, transform)
+    return i.select("item_id", "source_id", "transform", F.md5(F.col("donors")[0]["text"]).alias("donor"), F.md5("recipient").alias("recipient"))
+
+
 def jn18_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's next one, and the next of another domain, in cyclic order of ids."""
     return W.neighbours(views.sources(spark, sf_dir))
@@ -71,5 +79,5 @@ def _oracle(transform: str) -> str:
       SELECT item_id, source_id, '{transform}' AS transform, {_ID("item_id || chr(31) || 'donor'")} || ':' || md5(d) AS donors, md5(r) AS recipient, length(r) AS n_chars, {str(transform == "negative_control").lower()} AS negative_control FROM w"""
 
 
-QUERIES = {"jn18_neighbours": jn18_neighbours} | {f"{k}_{t}": partial(_built, t) for k, t in TRANSFORMS.items()}
+QUERIES = {"jn18_neighbours": jn18_neighbours} | {f"{k}_{t}": partial(_built, t) for k, t in TRANSFORMS.items()} | {f"{k}_{t}": partial(_probed, t) for k, t in zip(("tx14", "tx15", "tx16"), W.PROBES[1:])}
 ORACLES = {"jn18_neighbours": f"WITH {_NEAR} SELECT * FROM near"} | {f"{k}_{t}": _oracle(t) for k, t in TRANSFORMS.items() if t in _PROMPTS}

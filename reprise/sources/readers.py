@@ -10,9 +10,10 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reprise.functions import text as T
 from reprise.operators.ordinals import with_ordinal
 
 DONOR = "struct<donor_id:string,text:string,label:string,metadata:map<string,string>>"
@@ -130,3 +131,44 @@ def frozen(digests: DataFrame, expected: dict[str, str]) -> bool:
 def read_json_document(path: str) -> dict:
     """A small document, such as recorded digests or a calibration."""
     return json.loads(Path(path).read_text(encoding="utf-8"))
+
+
+def questions(rows: DataFrame, dataset: str) -> DataFrame:
+    """Source records of question rows (_id, context, input, answers, ordinal); a missing id is derived."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    made = T.stable_id(F.lit(dataset), F.col("ordinal").cast("string"), F.substring(text("context"), 1, 256))
+    return rows.select(F.coalesce(F.nullif("_id", F.lit("")), made).alias("source_id"), F.lit(dataset).alias("dataset"), text("context").alias("context"), text("input").alias("input"), F.coalesce("answers", F.array().cast("array<string>")).alias("answers"), "ordinal")
+
+
+def choices(rows: DataFrame, dataset: str) -> DataFrame:
+    """Source records of multiple-choice rows (_id, context, question, choice_A..D, answer, ordinal)."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    asked = F.concat_ws("\n", text("question"), *(F.concat(F.lit(f"{x}. "), text(f"choice_{x}")) for x in "ABCD"))
+    made = T.stable_id(F.lit(dataset), F.col("ordinal").cast("string"), text("question"))
+    return rows.select(F.coalesce(F.nullif("_id", F.lit("")), made).alias("source_id"), F.lit(dataset).alias("dataset"), text("context").alias("context"), asked.alias("input"), F.array(text("answer")).alias("answers"), "ordinal")
+
+
+def read_questions(spark: SparkSession, path: str, dataset: str, multiple_choice: bool = False) -> DataFrame:
+    """Source records of a downloaded benchmark file, JSON lines in order."""
+    fields = "_id string, context string, question string, choice_A string, choice_B string, choice_C string, choice_D string, answer string, input string, answers array<string>"
+    rows = _lines(spark, path).where(F.trim("value") != "").select("ordinal", F.from_json("value", fields).alias("r")).select("ordinal", "r.*")
+    return choices(rows, dataset) if multiple_choice else questions(rows, dataset)
+
+
+def engine_timing(metrics: Column) -> tuple[Column, Column]:
+    """(time to first token, queue time) in milliseconds out of a JSON object of engine metrics.
+
+    The first key that is there counts; keys without _ms are in seconds; else the difference of two
+    timestamps, null if it is negative.
+    """
+    number = lambda k: F.get_json_object(metrics, f"$.{k}").try_cast("double")
+    first = lambda *ks: F.coalesce(*(number(k) if k.endswith("_ms") else number(k) * 1000 for k in ks))
+    elapsed = lambda a, b: F.when(number(b) >= number(a), (number(b) - number(a)) * 1000)
+    ttft = F.coalesce(first("time_to_first_token_ms", "ttft_ms", "time_to_first_token", "ttft"), elapsed("first_scheduled_time", "first_token_time"))
+    queue = F.coalesce(first("queue_time_ms", "time_in_queue_ms", "queue_time", "time_in_queue"), elapsed("arrival_time", "first_scheduled_time"))
+    return ttft, queue
+
+
+def with_rates(histogram: DataFrame, rates: DataFrame, default: float) -> DataFrame:
+    """A histogram with hit rates; sizes without a rate of their own get the default."""
+    return histogram.join(rates, "prompt_tokens", "left").withColumn("hit_rate", F.coalesce("hit_rate", F.lit(default)))
