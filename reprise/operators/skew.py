@@ -18,9 +18,10 @@ def grid_join(left: DataFrame, right: DataFrame, on: str, left_id: str, right_id
     cell, and then nothing is copied. Columns other than `on` must differ between the sides.
     """
     parts = lambda rows, name: rows.groupBy(on).agg(F.ceil(F.count("*") / chunk).cast("int").alias(name))
-    cells = parts(left, "_m").join(parts(right, "_n"), on)
-    place = lambda x, n: F.pmod(F.xxhash64(x), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = left.join(cells, on).withColumn("_i", place(left_id, "_m")).withColumn("_j", every("_n")).drop("_m", "_n")
-    b = right.join(cells, on).withColumn("_j", place(right_id, "_n")).withColumn("_i", every("_m")).drop("_m", "_n")
+    # Only keys of more than one cell: a few rows, as a rule, which the engine may then broadcast.
+    cells = parts(left, "_m").join(parts(right, "_n"), on).where("_m > 1 OR _n > 1")
+    place = lambda x, n: F.when(F.col(n) > 1, F.pmod(F.xxhash64(x), F.col(n)).cast("int")).otherwise(0)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    a = left.join(cells, on, "left").withColumn("_i", place(left_id, "_m")).withColumn("_j", every("_n")).drop("_m", "_n")
+    b = right.join(cells, on, "left").withColumn("_j", place(right_id, "_n")).withColumn("_i", every("_m")).drop("_m", "_n")
     return a.join(b, [on, "_i", "_j"]).drop("_i", "_j")
