@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reprise.operators.skew import grid_join
 from reprise.session import materialise
 
 #: Shortest stretch that counts, in code points.
@@ -140,7 +141,7 @@ class SharedSpans:
         right = posts.select("digest", *(F.col(c).alias(f"{c}_b") for c in ("text_id", "place", "first", "last")))
         # Different texts of one and the same record only are no pair.
         apart = "text_id_a < text_id_b AND NOT (first_a = last_a AND first_b = last_b AND first_a = first_b)"
-        aligned = left.join(right, "digest").where(apart).select(F.col("text_id_a").alias("text_a"), F.col("text_id_b").alias("text_b"), (F.col("place_b") - F.col("place_a")).alias("shift"))
+        aligned = grid_join(left, right, "digest", "text_id_a", "text_id_b").where(apart).select(F.col("text_id_a").alias("text_a"), F.col("text_id_b").alias("text_b"), (F.col("place_b") - F.col("place_a")).alias("shift"))
         pairs = aligned.groupBy("text_a", "text_b").agg(F.collect_set("shift").alias("shifts"))
         both = pairs.join(unique.toDF("text_b", "x_b"), "text_b").join(unique.toDF("text_a", "x_a"), "text_a")
         self.stretches = materialise(both.mapInPandas(_compare(least), "text_a string, text_b string, start_a int, start_b int, length int"))
@@ -149,8 +150,9 @@ class SharedSpans:
         """(id_a, id_b), id_a < id_b: records that share a stretch."""
         left = self.owners.select(F.col("text_id").alias("text_a"), F.col("record_id").alias("x"))
         right = self.owners.select(F.col("text_id").alias("text_b"), F.col("record_id").alias("y"))
-        between = self.stretches.select("text_a", "text_b").distinct().join(left, "text_a").join(right, "text_b").select("x", "y")
-        copies = left.join(right, F.col("text_a") == F.col("text_b")).where("x < y").select("x", "y")
+        linked = self.stretches.select("text_a", "text_b").distinct()
+        between = grid_join(grid_join(linked, left, "text_a", "text_b", "x"), right, "text_b", "x", "y").select("x", "y")
+        copies = grid_join(left.withColumnRenamed("text_a", "t"), right.withColumnRenamed("text_b", "t"), "t", "x", "y").where("x < y").select("x", "y")
         return between.union(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b").distinct()
 
     def coverage(self) -> DataFrame:
