@@ -16,7 +16,7 @@ def test_rules(spark):
 
 def test_overlap(spark):
     text = " ".join(map(str, range(40)))
-    df = spark.createDataFrame([(text, text), (text, text[: len(text) // 2]), ("a b", "a b"), ("a", ""), ("x " * 30, text)], "a string, b string")
+    df = spark.createDataFrame([(text, text), (text, " ".join(map(str, range(20)))), ("a b", "a b"), ("a", ""), ("x " * 30, text)], "a string, b string")
     w = df.select(R.split_words(F.col("a")).alias("a"), R.split_words(F.col("b")).alias("b")).select(R.word_runs(F.col("a")).alias("a"), R.word_runs(F.col("b")).alias("b"))
     assert [round(r.x, 2) for r in w.select(R.overlap_ratio(F.col("a"), F.col("b")).alias("x")).collect()] == [1.0, 1.0, 1.0, 1.0, 0.0]
 
