@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reprise.session import materialise
+
 #: Rows of a key on one side that one cell of its grid holds, on average.
 CHUNK = 2000
 
@@ -18,8 +20,10 @@ def grid_join(left: DataFrame, right: DataFrame, on: str, left_id: str, right_id
     cell, and then nothing is copied. Columns other than `on` must differ between the sides.
     """
     parts = lambda rows, name: rows.groupBy(on).agg(F.ceil(F.count("*") / chunk).cast("int").alias(name))
-    # Only keys of more than one cell: a few rows, as a rule, which the engine may then broadcast.
-    cells = parts(left, "_m").join(parts(right, "_n"), on).where("_m > 1 OR _n > 1")
+    # Only keys of more than one cell: at most rows / chunk of them, and most often none.
+    cells = materialise(parts(left, "_m").join(parts(right, "_n"), on).where("_m > 1 OR _n > 1"))
+    if cells.isEmpty():
+        return left.join(right, on)
     place = lambda x, n: F.when(F.col(n) > 1, F.pmod(F.xxhash64(x), F.col(n)).cast("int")).otherwise(0)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
     a = left.join(cells, on, "left").withColumn("_i", place(left_id, "_m")).withColumn("_j", every("_n")).drop("_m", "_n")
