@@ -128,6 +128,7 @@ def best_of(answers: Column, score) -> Column:
 
 def answer_letter(text: Column) -> Column:
     """Choice letter of a reply: an 'Answer: X' line, a line of the letter alone, or the first that stands alone."""
+    # The three patterns, in order.
     tries = (r"(?im)^\s*(?:answer|final answer)\s*[:\-]?\s*\(?([A-D])\)?\b", r"(?im)^\s*\(?([A-D])\)?\s*[.):]?\s*$", r"\b([A-D])\b")
     return F.upper(F.coalesce(*(F.nullif(F.regexp_extract(text, t, 1), F.lit("")) for t in tries)))
 

@@ -77,6 +77,7 @@ def decision_summary(lines: DataFrame) -> DataFrame:
     )
 
 
+# A sample line of the text exposition, and a label.
 _SAMPLE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{(.*)\})?[ \t]+(\S+)(?:[ \t]+\S+)?[ \t]*$"
 _LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
 
