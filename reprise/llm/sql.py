@@ -54,7 +54,45 @@ SELECT {keys}, n AS n_values, {values}, 0::BIGINT AS rank_error FROM sorted
 _AT = "pow(2, floor(l[ceil(n * {p} / 100)::BIGINT] / 2048) - 8) * (1 + (l[ceil(n * {p} / 100)::BIGINT] % 2048 + 0.5) / 2048) AS p{p}"
 _P4_VALUES = ", ".join(_AT.format(p=p) for p in (50, 90, 95, 99))
 
+_ITEM_TEXTS = """
+items AS (SELECT DISTINCT ON (item_id) item_id, recipient_prompt, donor_prompts FROM workload_items),
+donors AS (SELECT item_id, donor_prompts, unnest(range(0, len(donor_prompts))) AS n FROM items),
+texts AS (
+  SELECT item_id, 'recipient' AS part, recipient_prompt AS t FROM items
+  UNION ALL SELECT item_id, 'donor ' || n, donor_prompts[n + 1].text FROM donors)
+"""
+
+_P1 = f"""
+WITH {_ITEM_TEXTS},
+places AS (SELECT item_id, t, unnest(range(1, length(t) - 238)) AS i FROM (SELECT DISTINCT item_id, t FROM texts WHERE length(t) >= 240)),
+spans AS (SELECT DISTINCT item_id, md5_number(substr(t, i, 240)) AS h FROM places)
+SELECT DISTINCT a.item_id AS item_id_a, b.item_id AS item_id_b FROM spans a JOIN spans b ON a.h = b.h AND a.item_id < b.item_id
+"""
+
+_P1_LINES = rf"""
+WITH {_ITEM_TEXTS},
+cut AS (SELECT item_id, part, string_split(regexp_replace(t, '(\r\n|\r|\n)', '\1' || chr(1), 'g'), chr(1)) AS u FROM texts WHERE t IS NOT NULL),
+each AS (SELECT item_id, part, unnest(range(1, len(u) + 1)) AS k, u FROM cut),
+placed AS (SELECT item_id, part, u[k] AS unit, coalesce(list_sum(list_transform(u[1 : k - 1], lambda x: length(x))), 0) AS start FROM each),
+plain AS (SELECT item_id, part, start, length(unit) AS length, trim(regexp_replace(lower(unit), '[\s\x0b\p{{Z}}]+', ' ', 'g')) AS p FROM placed),
+firsts AS (SELECT md5(p) AS digest, min((item_id, part, start)) AS first, count(*) AS n_copies FROM plain GROUP BY 1)
+SELECT item_id AS record_id, part, start::BIGINT AS start, length, digest, n_copies, first = (item_id, part, start) OR length(p) < 20 AS kept
+FROM plain JOIN firsts ON digest = md5(p)
+"""
+
+_P5 = r"""
+WITH items AS (SELECT DISTINCT ON (item_id) item_id, recipient_prompt AS t FROM workload_items),
+w AS (SELECT item_id, list_transform(regexp_extract_all(t, '[\p{L}\p{N}_]+'), lambda x: lower(x)) AS w FROM items WHERE t IS NOT NULL),
+s AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM w),
+n AS (SELECT item_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.item_id < b.item_id GROUP BY ALL)
+SELECT a AS item_id_a, b AS item_id_b FROM c JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE 5 * c >= 3 * (x.n + y.n - c)
+"""
+
 ORACLES: dict[str, str] = {
+    "p1_found": _P1,
+    "p1_lines": _P1_LINES,
+    "p5_found": _P5,
     "p3_found": _P3,
     "p4_daily": _P4.format(keys="dataset, transform, day", values=_P4_VALUES),
     "p4_period": _P4.format(keys="dataset, transform", values=_P4_VALUES),
