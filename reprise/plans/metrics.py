@@ -11,6 +11,7 @@ from reprise.operators import signals as S
 from reprise.operators.ordinals import with_ordinal
 from reprise.plans import views
 from reprise.plans.audit import FOLD_SQL, RESOLVED_SQL, events
+from reprise.plans.text import _SQL_WORDS, SQL_LCS
 from reprise.plans.views import REQUESTS_SQL
 
 # Measures that the test tables lack, derived from those they have, the same way on both sides.
@@ -268,6 +269,9 @@ ORACLES = {
     "jn04_clean_pairs": f"{_PAIRS} SELECT item_id, control, cold_ms, ttft_ms AS warm_ms, ratio, hit, mechanism, tclass AS traffic_class FROM flat WHERE timed",
     "ag20_paired_summary": _SUMMARY,
     "ag20_mechanisms": f"{_PAIRS} SELECT mechanism, count(*) AS n_pairs FROM flat WHERE {_B} GROUP BY 1",
+    "ag20_output_rouge": f"""{_PAIRS}, t AS (SELECT {_SQL_WORDS.format(x="output_text")} AS x, {_SQL_WORDS.format(x="cold_text")} AS y FROM clean WHERE cold_text <> '' AND output_text <> ''),
+      m AS (SELECT len(x) AS n, len(y) AS k, CASE WHEN len(x) > 0 AND len(y) > 0 THEN {SQL_LCS.format(x="x", y="y")} ELSE 0 END AS c FROM t)
+      SELECT count(*) AS n_pairs, round(avg(CASE WHEN c = 0 THEN 0.0 ELSE 2 * (c / n) * (c / k) / (c / n + c / k) END), 9) AS mean_rouge_l FROM m""",
     "ag21_miss_tax": _tax("{silent}"),
     "ag21_capture_tax": _tax(f"({{silent}} AND {_CLASS} = 'no_reuse')"),
     "ag01_per_arm": _ARM.format(key="arm", group="arm"),

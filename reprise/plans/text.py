@@ -150,6 +150,13 @@ _LETTER = r"upper(coalesce(nullif(regexp_extract(output_text, '(?im)^\s*(?:answe
 _CLEAN = "coalesce(nullif(trim(substr(regexp_replace(lower({x}), '[^a-z0-9-]', '-', 'g'), 1, 24), '-'), ''), 'x')"
 _STABLE = "substr(sha256({x}), 1, 16)"
 
+# Longest common subsequence: a row of the table per word of y, each entry the best match that ends at or before it.
+SQL_LCS = "list_reduce({y}, lambda r, w: list_transform(range(1, len({x}) + 1), lambda j: greatest(r[j], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: {x}[k] = w), lambda k: coalesce(r[k - 1], 0) + 1)), 0))), list_transform({x}, lambda z: 0::BIGINT))[-1]"
+_SQL_ROUGE = f"""{_SQL_SCORED}, p AS (SELECT DISTINCT output_text, a FROM each WHERE a IS NOT NULL), l AS (SELECT output_text, a, {_SQL_WORDS.format(x="output_text")} AS x, {_SQL_WORDS.format(x="a")} AS y FROM p),
+  m AS (SELECT output_text, a, len(x) AS n, len(y) AS k, CASE WHEN len(x) > 0 AND len(y) > 0 THEN {SQL_LCS.format(x="x", y="y")} ELSE 0 END AS c FROM l),
+  s AS (SELECT output_text, a, CASE WHEN c = 0 THEN 0.0 ELSE 2 * (c / n) * (c / k) / (c / n + c / k) END AS s FROM m)
+  SELECT item_id, md5(output_text) AS output, n, CASE WHEN k > 0 THEN round(coalesce(max(s), 0), 6) END AS score FROM each LEFT JOIN s USING (output_text, a) GROUP BY item_id, output_text, n, k"""
+
 QUERIES = {
     f.__name__: f
     for f in (sf01_tokens, sf03_block_hashes, sf04_stable_ids, sf05_request_ids, sf06_derived_ints, sf07_placement, sf09_normal_words, sf10_stems, sf11_answer_recall, sf12_token_f1, sf13_rouge_l, sf14_letters, sf15_sentences, sf17_inject, sf19_reworded)
@@ -165,6 +172,7 @@ ORACLES = {
     "sf10_stems": f"WITH {ITEMS_SQL}, w AS (SELECT unnest({_SQL_STEMS.format(x='input')}) AS stem FROM items) SELECT stem, count(*) AS n FROM w GROUP BY 1",
     "sf11_answer_recall": _sql_best(_SQL_STEMS.format(x="output_text"), _SQL_STEMS.format(x="a"), "c / q"),
     "sf12_token_f1": _sql_best(_SQL_WORDS.format(x="output_text"), _SQL_WORDS.format(x="a"), "2 * (c / p) * (c / q) / (c / p + c / q)"),
+    "sf13_rouge_l": _SQL_ROUGE,
     "sf14_letters": f"WITH {REQUESTS_SQL} SELECT {_LETTER} AS letter, count(*) AS n FROM requests WHERE output_text IS NOT NULL GROUP BY 1",
     "sf15_sentences": f"WITH {SOURCES_SQL}, s AS (SELECT source_id, {_SQL_SENTENCES.format(x='context')} AS s FROM sources) SELECT source_id, len(s) AS n_sentences, md5(list_aggregate(s, 'string_agg', '|')) AS digest FROM s",
     "sf17_inject": f"WITH {SOURCES_SQL}, s AS (SELECT source_id, {_SQL_SENTENCES.format(x='context')} AS s FROM sources) SELECT source_id, md5(list_aggregate(list_concat(s[: len(s) // 2], ['One more fact.'], s[len(s) // 2 + 1 :]), 'string_agg', ' ')) AS digest FROM s",
