@@ -4,7 +4,8 @@ Five kinds, at most one per record, in this order: `empty`, `copies_question`, `
 `other_language`, `truncated`. Emptiness, copies and refusals are rules on words. The languages of
 prompt and response are compared by the posteriors of a character n-gram naive Bayes model. A text
 counts as truncated if its last words hardly ever end a text: the likelihood of an end after an
-n-gram is estimated from all responses, backing off from three words to one, in distributed counts.
+n-gram is estimated from all responses and contexts, interpolated from one word to three, in
+distributed counts.
 """
 
 from __future__ import annotations
@@ -47,8 +48,11 @@ LABEL_WORDS = 3
 LANGUAGE_WORDS = 4
 #: Log odds (nats) by which another language must be likelier.
 LANGUAGE_ODDS = 8.0
-#: Share of ends among the occurrences of the last words under which a text is truncated.
-END_SHARE = 0.02
+#: Likelihood of a sentence's end after the last words under which a text is truncated. It is
+#: interpolated from one word to three; a shorter n-gram's estimate counts like `END_WEIGHT` sightings.
+END_SHARE, END_WEIGHT, END_PRIOR = 0.01, 10, 0.05
+#: A word is broken if longer words that begin with it are so many times as frequent.
+WHOLE_WORD = 100
 #: A response with fewer plain words than this may be names, codes or figures on their own.
 PLAIN_WORDS = 3
 
@@ -241,14 +245,26 @@ def pair_defects(pairs: DataFrame, labelled: dict[str, list[str]], contexts: Dat
     features = materialise(once.select("pair", "prompt", "response").mapInPandas(_features(shared), "pair string, defect string, tail array<string>, last_word string, doubt boolean"))
     sure = features.where("defect IS NOT NULL").select("pair", "defect")
     open_ = features.where("doubt").select("pair", "tail", "last_word")
-    texts = once.select("response").where("response IS NOT NULL").distinct()
+    # How words end sentences is counted over all responses and contexts.
+    texts = once.select("response").union(contexts.select("context")).where("response IS NOT NULL").distinct()
     counts = texts.mapInPandas(_grams_of, "gram string, n bigint, n_end bigint").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
     size = F.size("tail")
     grams = [F.concat_ws(" ", F.slice("tail", F.greatest(size - n + 1, F.lit(1)), F.lit(n))) for n in (1, 2, 3)]
     asked = open_.select("pair", "last_word", F.posexplode(F.array_distinct(F.array(*grams))).alias("k", "gram"))
-    seen = asked.join(counts, "gram", "left").groupBy("pair").agg(F.max_by(F.struct("n", "n_end"), F.when(F.col("n") >= 3, F.col("k"))).alias("best"), F.max(F.when(F.col("k") == 0, F.col("n"))).alias("n_last"), F.first("last_word").alias("last_word"))
-    # A word never met before the end of a text, or one that next to never ends a sentence, breaks off.
-    unlikely = F.col("n_last").isNull() | F.coalesce(F.col("best.n_end") / F.col("best.n") < END_SHARE, F.lit(True))
+    of = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
+    seen = asked.join(counts, "gram", "left").groupBy("pair").agg(*(of(c, k).alias(f"{c}_{k}") for k in range(3) for c in ("n", "n_end")), F.first("last_word").alias("last_word"))
+    likelihood = F.lit(END_PRIOR)
+    for k in range(3):
+        n, n_end = (F.coalesce(f"{c}_{k}", F.lit(0)) for c in ("n", "n_end"))
+        likelihood = (n_end + END_WEIGHT * likelihood) / (n + END_WEIGHT)
+    # Longer words that begin with a last word: those of a plain word that was cut are far more frequent.
+    words = counts.where(~F.col("gram").contains(" ") & (F.length("gram") > 1)).select("gram", "n", F.explode(F.sequence(F.lit(1), F.length("gram") - 1)).alias("m"))
+    longer = words.groupBy(F.substring("gram", F.lit(1), F.col("m")).alias("last")).agg(F.sum("n").alias("n_longer"))
+    seen = seen.withColumn("last", F.lower("last_word")).join(longer, "last", "left")
+    plain = F.regexp_like("last_word", F.lit(r"^\p{Ll}+$"))
+    broken = plain & (F.col("n_longer") >= WHOLE_WORD) & (F.col("n_0") * WHOLE_WORD < F.col("n_longer"))
+    # A word never met but at the end of a text, a broken one, or words that next to never end a sentence.
+    unlikely = F.col("n_0").isNull() | F.coalesce(broken, F.lit(False)) | (likelihood < END_SHARE)
     about = seen.join(once.select("pair", "context_id", "prompt"), "pair").join(contexts.select("context_id", "context"), "context_id", "left")
     cut = about.where(unlikely | _is_cut_name(F.col("last_word"), F.concat_ws(" ", "prompt", "context"))).select("pair", F.lit("truncated").alias("defect"))
     return records.join(sure.union(cut), "pair").select("record_id", "defect").distinct()
