@@ -47,23 +47,26 @@ def _donor_blocks(items: DataFrame, size: int) -> DataFrame:
 
 
 def collisions(items: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Recipient blocks that collide with donors they must not share blocks with.
+    """Recipient blocks that collide with donors they must not share blocks with, and with how many items.
 
-    Boilerplate never gets into the join between recipients and owners: it is taken out of the
-    owners first, by counts per digest, so a preamble of every prompt is no hot key.
+    Boilerplate is taken out of the owners by counts per digest, and owners are counted by digest
+    and origin before they meet recipients, so neither a preamble of every prompt nor a source of
+    many items multiplies rows: a digest that is left has fewer than `BOILERPLATE_SOURCES` origins.
     """
     owners = _donor_blocks(items, size).where("NOT degenerate").select("digest", "item_id", "origin").distinct()
     by_digest = owners.groupBy("digest").agg(F.countDistinct("origin").alias("n_origins"))
     total = owners.agg(F.greatest(F.lit(2), F.least(F.lit(BOILERPLATE_SOURCES), F.countDistinct("origin"))).alias("threshold"))
     rare = by_digest.join(F.broadcast(total)).where("n_origins < threshold").select("digest")  # the total is one row
-    kept = owners.join(rare, "digest")
+    kept = owners.groupBy("digest", "origin").agg(F.countDistinct("item_id").alias("n"), F.min("item_id").alias("first")).join(rare, "digest")
+    own = owners.select("item_id", "digest").distinct().withColumn("own", F.lit(True))
     blocks = prompt_blocks(items, ["item_id", "source_id", "negative_control"], "recipient_prompt", size).where("NOT degenerate").drop("degenerate")
-    met = blocks.join(kept.select("digest", F.col("item_id").alias("owner"), "origin"), "digest")
-    own = F.col("owner") == F.col("item_id")
-    grouped = met.groupBy("item_id", "source_id", "negative_control", "block_no", "digest").agg(F.max(own).alias("own"), F.array_sort(F.collect_set("owner")).alias("owners"), F.array_sort(F.collect_set(F.when(F.col("origin") != F.col("source_id"), F.col("owner")))).alias("foreign"))
-    overlap = F.col("negative_control") & F.col("own")
-    kind = F.when(overlap, "negative_control_overlap").when(F.size("foreign") > 0, "phantom_cross_source")
-    return grouped.select(kind.alias("kind"), "item_id", "source_id", F.col("block_no").cast("bigint").alias("block_no"), F.col("digest").alias("block_hash"), F.array_join(F.when(overlap, F.col("owners")).otherwise(F.col("foreign")), ",").alias("colliding_items")).where("kind IS NOT NULL")
+    met = blocks.join(kept, "digest")
+    foreign = F.col("origin") != F.col("source_id")
+    grouped = met.groupBy("item_id", "source_id", "negative_control", "block_no", "digest").agg(F.sum(F.when(foreign, F.col("n"))).alias("n_foreign"), F.min(F.when(foreign, F.col("first"))).alias("first_foreign"), F.sum("n").alias("n_all"), F.min("first").alias("first_all"))
+    known = grouped.join(own, ["item_id", "digest"], "left")
+    overlap = F.col("negative_control") & F.col("own").isNotNull()
+    kind = F.when(overlap, "negative_control_overlap").when(F.col("n_foreign") > 0, "phantom_cross_source")
+    return known.select(kind.alias("kind"), "item_id", "source_id", F.col("block_no").cast("bigint").alias("block_no"), F.col("digest").alias("block_hash"), F.when(overlap, F.col("n_all")).otherwise(F.col("n_foreign")).alias("n_items"), F.when(overlap, F.col("first_all")).otherwise(F.col("first_foreign")).alias("first_item")).where("kind IS NOT NULL")
 
 
 def collision_report(items: DataFrame, size: int = BLOCK) -> DataFrame:

@@ -11,35 +11,37 @@ from reprise.session import materialise
 WINDOW = 16
 
 
-def window_edges(sources: DataFrame, order: str, text: str, window: int = WINDOW) -> DataFrame:
-    """(later, earlier) for every two sources that share a window.
-
-    Windows travel as 64-bit hashes. All pairs are needed, not only neighbours in order, as a source
-    that is dropped does not block later ones.
-    """
+def shared_windows(sources: DataFrame, order: str, text: str, window: int = WINDOW) -> DataFrame:
+    """(o, h): the windows, as 64-bit hashes, of each source that another source holds too."""
     ids = sources.select(F.col(order).alias("o"), T.token_ids(F.col(text)).alias("ids"))
     hashes = ids.select("o", F.explode(F.array_distinct(F.transform(F.filter(T.windows(F.col("ids"), window), lambda w: ~T.degenerate(w)), lambda w: F.xxhash64(w)))).alias("h"))
-    left, right = hashes.select(F.col("o").alias("earlier"), "h"), hashes.select(F.col("o").alias("later"), "h")
-    return left.join(right, "h").where("earlier < later").select("later", "earlier").distinct()
+    several = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    return hashes.join(several, "h").select("o", "h")
+
+
+def first_overlaps(windows: DataFrame, order: str) -> DataFrame:
+    """(order, n_windows, first): of each source that shares windows, how many, and the first that holds one of them."""
+    first = windows.groupBy("h").agg(F.min("o").alias("first"))
+    return windows.join(first, "h").groupBy(F.col("o").alias(order)).agg(F.count("*").alias("n_windows"), F.min("first").alias("first"))
 
 
-def greedy_keep(sources: DataFrame, edges: DataFrame, order: str) -> DataFrame:
-    """(order, kept): the first source is kept, and each next unless it overlaps a kept earlier one.
+def greedy_keep(sources: DataFrame, windows: DataFrame, order: str) -> DataFrame:
+    """(order, kept): the first source is kept, and each next unless it shares a window with a kept earlier one.
 
-    Decided in rounds: a source without an undecided or kept earlier neighbour is kept, later
-    neighbours of kept ones are dropped, until all are decided. Rounds are as many as the longest
-    chain of decisions that depend on each other; state is checkpointed between them.
+    Decided in rounds: a source that is the first undecided holder of all its windows, none of them
+    having a kept earlier holder, is kept; one with such a window is dropped. Sources meet in
+    aggregates by window, so a window that a third of all sources hold makes no pairs. Rounds are as
+    many as the longest chain of decisions that depend on each other; state is checkpointed.
     """
-    edges = materialise(edges)
-    state = materialise(sources.select(F.col(order).alias("o"), F.lit(None).cast("boolean").alias("kept")))
-    while True:
-        of = state.select(F.col("o").alias("earlier"), F.col("kept").alias("k"))
-        seen = edges.join(of, "earlier").groupBy("later").agg(F.bool_or("k").alias("any_kept"), F.count_if(F.col("k").isNull()).alias("open"))
-        joined = state.join(seen.select(F.col("later").alias("o"), "any_kept", "open"), "o", "left")
-        decided = F.when(F.col("any_kept"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = materialise(joined.select("o", F.coalesce("kept", decided).alias("kept")))
-        if state.where("kept IS NULL").isEmpty():
-            return state.withColumnRenamed("o", order)
+    windows = materialise(windows)
+    state = materialise(windows.select("o").distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    while not state.where("kept IS NULL").isEmpty():
+        held = windows.join(state, "o")
+        by = held.groupBy("h").agg(F.min(F.when(F.col("kept"), F.col("o"))).alias("first_kept"), F.min(F.when(F.col("kept").isNull(), F.col("o"))).alias("first_open"))
+        seen = held.where("kept IS NULL").join(by, "h").groupBy("o").agg(F.bool_or(F.coalesce(F.col("first_kept") < F.col("o"), F.lit(False))).alias("blocked"), F.bool_and(F.col("first_open") == F.col("o")).alias("leads"))
+        decided = F.when(F.col("blocked"), False).when(F.col("leads"), True)
+        state = materialise(state.join(seen, "o", "left").select("o", F.coalesce("kept", decided).alias("kept")))
+    return sources.select(order).join(state.withColumnRenamed("o", order), order, "left").select(order, F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def cap_per_dataset(sources: DataFrame, order: str, cap: int) -> DataFrame:

@@ -31,7 +31,7 @@ _VIOLATIONS = f"""{_BLOCKS}, owners AS (SELECT DISTINCT h, item_id AS owner, ori
   g AS (SELECT item_id, source_id, negative_control, block_no, h, bool_or(owner = item_id) AS own, list_sort(list_distinct(list(owner))) AS owners,
         coalesce(list_sort(list_distinct(list(owner) FILTER (WHERE origin <> source_id))), []) AS foreign_ FROM met GROUP BY ALL),
   v AS (SELECT CASE WHEN negative_control AND own THEN 'negative_control_overlap' WHEN len(foreign_) > 0 THEN 'phantom_cross_source' END AS kind, item_id, source_id, block_no, h AS block_hash,
-        array_to_string(CASE WHEN negative_control AND own THEN owners ELSE foreign_ END, ',') AS colliding_items FROM g)"""
+        CASE WHEN negative_control AND own THEN len(owners) ELSE len(foreign_) END AS n_items, CASE WHEN negative_control AND own THEN owners[1] ELSE foreign_[1] END AS first_item FROM g)"""
 # Sources in the order of their ids, and the windows each shares with others.
 _EDGES = f"""WITH RECURSIVE {SOURCES_SQL}, t AS (SELECT source_id, {sql_token_ids("context || chr(10) || input")} AS ids FROM sources),
   w0 AS (SELECT source_id, unnest(list_transform(range(1, len(ids) - 14), lambda i: ids[i : i + 15])) AS w FROM t),
@@ -83,13 +83,14 @@ def wf09_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jn10_window_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.window_edges(_dedupe_material(spark, sf_dir), "source_id", "material")
+    """Sources that share windows of sixteen tokens, and the first that holds one of them."""
+    return dedupe.first_overlaps(dedupe.shared_windows(_dedupe_material(spark, sf_dir), "source_id", "material"), "source_id")
 
 
 def jn10_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources kept by the greedy rule, in the order of their ids."""
     s = _dedupe_material(spark, sf_dir)
-    return dedupe.greedy_keep(s, dedupe.window_edges(s, "source_id", "material"), "source_id")
+    return dedupe.greedy_keep(s, dedupe.shared_windows(s, "source_id", "material"), "source_id")
 
 
 def ag39_dedupe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +115,7 @@ ORACLES = {
     "ag38_collision_report": f"{_VIOLATIONS} SELECT (SELECT count(*) FROM items) AS items_checked, (SELECT count(*) FROM db) AS donor_blocks, (SELECT count(*) FROM db WHERE deg) AS degenerate_blocks, (SELECT count(*) FROM per, limits WHERE n >= threshold) AS boilerplate_blocks, (SELECT count(*) FROM v WHERE kind IS NOT NULL) AS n_violations, (SELECT count(*) FROM v WHERE kind IS NOT NULL) = 0 AS passed",
     "prj10_degenerate_blocks": f"{_BLOCKS} SELECT transform, count(*) AS n_blocks, count(*) FILTER (WHERE deg) AS n_degenerate FROM rb GROUP BY 1",
     "wf09_windows": f"{_EDGES} SELECT source_id, count(*) AS n_windows, count(DISTINCT w) AS n_distinct FROM w0 WHERE len(list_distinct(w)) >= 4 GROUP BY 1",
-    "jn10_window_overlaps": f"{_EDGES} SELECT * FROM edges",
+    "jn10_window_overlaps": f"{_EDGES}, several AS (SELECT w, min(source_id) AS first FROM w GROUP BY 1 HAVING count(*) > 1) SELECT source_id, count(*) AS n_windows, min(first) AS first FROM w JOIN several USING (w) GROUP BY 1",
     "jn10_dedupe": f"{_KEPT} SELECT source_id, source_id IN (SELECT source_id FROM final) AS kept FROM sources",
     "ag39_dedupe_report": f"{_KEPT} SELECT dataset, count(*) FILTER (WHERE source_id IN (SELECT source_id FROM final)) AS n_kept, count(*) FILTER (WHERE source_id NOT IN (SELECT source_id FROM final)) AS n_dropped FROM sources GROUP BY 1",
     "wf05_cap": f"WITH {SOURCES_SQL} SELECT dataset, source_id, rank FROM (SELECT dataset, source_id, row_number() OVER (PARTITION BY dataset ORDER BY source_id) AS rank FROM sources) WHERE rank <= 3",

@@ -126,8 +126,8 @@ def test_eligible_blocks(spark):
 
 def kept(spark, texts):
     df = spark.createDataFrame([(f"s{n}", t) for n, t in enumerate(texts)], "source_id string, text string")
-    edges = dedupe.window_edges(df, "source_id", "text")
-    return [r.kept for r in sorted(dedupe.greedy_keep(df, edges, "source_id").collect(), key=lambda r: r.source_id)]
+    windows = dedupe.shared_windows(df, "source_id", "text")
+    return [r.kept for r in sorted(dedupe.greedy_keep(df, windows, "source_id").collect(), key=lambda r: r.source_id)]
 
 
 def test_greedy_dedupe(spark):
@@ -138,6 +138,8 @@ def test_greedy_dedupe(spark):
     # The second is dropped and so doesn't block the third.
     assert kept(spark, [words("a", 20), words("a", 20) + " " + words("b", 20), words("b", 20)]) == [True, False, True]
     assert kept(spark, []) == []
+    # A window that every source holds.
+    assert kept(spark, [shared + " " + words(x, 9) for x in "abcdefgh"]) == [True] + [False] * 7
 
 
 def test_cap(spark):
