@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reprise.plans.audit import FOLD_SQL
-from reprise.session import table
+from reprise.session import shared_folder, table
 from reprise.streaming import audit, windows
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder of its own in the cluster's shared one; a local one only where none is set, as in tests."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reprise-stream-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark, 'stream')}/stream-{uuid.uuid4().hex}"
 
 
 def sp01_stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,15 +33,16 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """The cluster's shared folder, `spark.checkpoint.dir`; a local one only where that is unset, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix=f"reprise-{purpose}-")
 
-    `spark.checkpoint.dir` is read from the session; only where it is unset (tests) is a local
-    folder chosen.
-    """
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a reliable checkpoint in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reprise-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint(eager=True)
 
 
