@@ -34,7 +34,7 @@ def sides(rows: DataFrame, how: str) -> DataFrame:
 
 def join_arms(rows: DataFrame) -> DataFrame:
     """(item_id, status): paired, mismatch (other fingerprint), only_cold, only_warm; the first row of an item counts."""
-    both = sides(first_rows(rows).select("item_id", "arm", *FINGERPRINT), "full")
+    both = sides(first_rows(rows.select("item_id", "arm", "ordinal", *FINGERPRINT)).drop("ordinal"), "full")
     same = F.lit(True)
     for c in FINGERPRINT:
         same = same & F.col(f"cold.{c}").eqNullSafe(F.col(f"warm.{c}"))
@@ -47,9 +47,20 @@ def duplicates(rows: DataFrame) -> DataFrame:
     return rows.groupBy("arm", "item_id").agg(F.count("*").alias("n"), F.min("ordinal.started_at").alias("first_at")).where("n > 1")
 
 
-def pairs(rows: DataFrame) -> DataFrame:
-    """Cold rows with their warm twins and the reason, if any, why the pair is not clean. The last row of an item counts."""
-    both = sides(last_rows(rows), "left")
+#: What pairs are classified and summed up by; only these columns, and those asked for, are shuffled.
+PAIR_COLUMNS = (
+    "transform", "traffic_class", "negative_control", "flush_contaminated", "error", "stream_position", "ttft_ms", "queue_time_ms", "prompt_tokens",
+    "external_confirmed_tokens", "fuzzy_confirmed_tokens", "backend_confirmed_tokens", "audit_materialized", "audit_joined", "audit_advertised_tokens",
+)
+
+
+def pairs(rows: DataFrame, *also: str) -> DataFrame:
+    """Cold rows with their warm twins and the reason, if any, why the pair is not clean. The last row of an item counts.
+
+    Rows have `PAIR_COLUMNS` as far as they are there, and the columns in `also`.
+    """
+    wanted = [c for c in (*PAIR_COLUMNS, *also) if c in rows.columns]
+    both = sides(last_rows(rows.select("item_id", "arm", "ordinal", *wanted)).drop("ordinal"), "left")
     error = lambda x: F.coalesce(F.col(f"{x}.error"), F.lit("")) != ""
     moved = F.col("cold.stream_position") != F.col("warm.stream_position")
     status = (
@@ -83,11 +94,15 @@ def timed(paired: DataFrame) -> DataFrame:
         S.traffic_class().alias("traffic_class"),
         F.col("cold.queue_time_ms").alias("cold_queue_ms"),
         F.col("warm.queue_time_ms").alias("warm_queue_ms"),
-        F.col("cold.output_text").alias("cold_text"),
-        F.col("warm.output_text").alias("warm_text"),
     )
 
 
+def answers(paired: DataFrame) -> DataFrame:
+    """(item_id, cold_text, warm_text) of clean pairs that both have an answer; pairs made with output_text."""
+    a = paired.where("status = 'clean'").select("item_id", F.col("cold.output_text").alias("cold_text"), F.col("warm.output_text").alias("warm_text"))
+    return a.where("cold_text <> '' AND warm_text <> ''")
+
+
 def status_counts(paired: DataFrame) -> DataFrame:
     return paired.groupBy("status").agg(F.count("*").alias("n_pairs"))
 
@@ -105,7 +120,7 @@ def _with_percentiles(flat: DataFrame, counts: DataFrame, wanted: dict[str, tupl
 
 def summary(flat: DataFrame) -> DataFrame:
     """One row: times per arm, speedups of blended, hit-only and control pairs, hit accounting."""
-    flat = materialise(flat.drop("cold_text", "warm_text"))
+    flat = materialise(flat)
     t, blended, control = F.col("timed"), F.col("timed") & ~F.col("control"), F.col("timed") & F.col("control")
     any_hit = F.coalesce("hit", "legacy_hit")
     when = lambda c, x: F.when(c, F.col(x))
@@ -144,7 +159,7 @@ def miss_tax(paired: DataFrame, capture: bool = False) -> DataFrame:
     population to traffic without reuse.
     """
     w = paired.where("status = 'clean'").select(F.coalesce("cold.negative_control", F.lit(False)).alias("control"), F.col("cold.ttft_ms").alias("cold_ms"), (_given("cold.ttft_ms") & _given("warm.ttft_ms")).alias("timed"), "warm.*")
-    w = materialise(w.drop("output_text"))
+    w = materialise(w)
     measured = ~F.col("control") & F.coalesce("audit_joined", F.lit(False))
     silent = measured & (S.zero("audit_advertised_tokens") == 0)
     missed = silent & (S.traffic_class() == S.NO_REUSE) if capture else silent

@@ -17,31 +17,32 @@ from reprise.plans.text import sql_token_ids
 from reprise.plans.views import ITEMS_SQL, REQUESTS_SQL
 
 
-def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.rows(spark, sf_dir).where("arm IN ('cold', 'warm')")
+def _arms(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Rows of both arms with the columns named only: a first or last row carries all of its columns."""
+    return M.rows(spark, sf_dir).where("arm IN ('cold', 'warm')").select("item_id", "arm", "ordinal", *columns)
 
 
 def wf01_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing.first_rows(_arms(spark, sf_dir)).select("item_id", "arm", "engine_request_id")
+    return pairing.first_rows(_arms(spark, sf_dir, "engine_request_id")).drop("ordinal")
 
 
 def wf02_last_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing.last_rows(_arms(spark, sf_dir)).select("item_id", "arm", "engine_request_id")
+    return pairing.last_rows(_arms(spark, sf_dir, "engine_request_id")).drop("ordinal")
 
 
 def jn02_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing.join_arms(_arms(spark, sf_dir)).where("status IN ('only_cold', 'only_warm')")
+    return pairing.join_arms(_arms(spark, sf_dir, *pairing.FINGERPRINT)).where("status IN ('only_cold', 'only_warm')")
 
 
 def jn03_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose first rows of the arms differ in place or in exact hits."""
-    both = pairing.sides(pairing.first_rows(_arms(spark, sf_dir)).select("item_id", "arm", "stream_position", "exact_hit_blocks"), "inner")
+    both = pairing.sides(pairing.first_rows(_arms(spark, sf_dir, "stream_position", "exact_hit_blocks")).drop("ordinal"), "inner")
     return both.where(~F.col("cold.exact_hit_blocks").eqNullSafe(F.col("warm.exact_hit_blocks")) | ~F.col("cold.stream_position").eqNullSafe(F.col("warm.stream_position"))).select("item_id")
 
 
 def jn12_reference_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = M.rows(spark, sf_dir)
-    probes = pairing.last_rows(r.where("arm = 'warm' AND traffic_class = 'reworded_doc'"))
+    probes = pairing.last_rows(r.where("arm = 'warm' AND traffic_class = 'reworded_doc'").select("item_id", "arm", "ordinal", "stream_position"))
     return R.reference_answers(probes, R.references(r))
 
 
@@ -87,14 +88,14 @@ def prj11_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prj13_pair_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = pairing.sides(pairing.first_rows(_arms(spark, sf_dir)).select("item_id", "arm", "error", "backend_confirmed_tokens"), "inner")
+    both = pairing.sides(pairing.first_rows(_arms(spark, sf_dir, "error", "backend_confirmed_tokens")).drop("ordinal"), "inner")
     kind = R.pair_class(F.col("cold.error"), F.col("warm.error"), F.col("cold.backend_confirmed_tokens"), F.col("warm.backend_confirmed_tokens"))
     return both.groupBy(kind.alias("pair_class")).agg(F.count("*").alias("n"))
 
 
 def prj16_service_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time that both arms took for an item, unmeasured ones counting as none."""
-    s = pairing.sides(pairing.first_rows(_arms(spark, sf_dir).join(views.requests(spark, sf_dir, "latency_ms"), "engine_request_id")).select("item_id", "arm", "latency_ms"), "inner")
+    s = pairing.sides(pairing.first_rows(views.arm_rows(spark, sf_dir, "latency_ms").select("item_id", "arm", "ordinal", "latency_ms")).drop("ordinal"), "inner")
     return s.select("item_id", R.service_ms(F.array("cold.latency_ms", "warm.latency_ms")).alias("service_ms"))
 
 

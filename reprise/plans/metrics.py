@@ -113,8 +113,8 @@ def ag20_mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ag20_output_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of the arms' answers over clean pairs that both have one."""
-    flat = pairing.timed(pairing.pairs(_unaudited(spark, sf_dir).where("arm IN ('cold', 'warm')")))
-    scored = flat.where("cold_text <> '' AND warm_text <> ''").select(rouge_l("warm_text", "cold_text").alias("r"))
+    paired = pairing.pairs(_unaudited(spark, sf_dir).where("arm IN ('cold', 'warm')"), "output_text")
+    scored = pairing.answers(paired).select(rouge_l("warm_text", "cold_text").alias("r"))
     return scored.agg(F.count("*").alias("n_pairs"), F.round(F.avg("r"), 9).alias("mean_rouge_l"))
 
 
@@ -131,7 +131,8 @@ def ag25_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _unaudited(spark, sf_dir).where("arm IN ('cold', 'warm')")
     first = views.items(spark, sf_dir).groupBy("dataset").agg(F.min("item_id").alias("parent_item_id"))
     probes = r.withColumn("traffic_class", F.when(F.col("traffic_class") == "reworded_doc", S.PROBE).otherwise(F.col("traffic_class"))).join(first, "dataset", "left")
-    return pairing.propagation(pairing.pairs(probes), pairing.last_rows(r).where("arm = 'warm'"), rouge_l)
+    served = pairing.last_rows(r.where("arm = 'warm'").select("item_id", "arm", "ordinal", "output_text"))
+    return pairing.propagation(pairing.pairs(probes, "output_text", "parent_item_id"), served, rouge_l)
 
 
 def ag01_per_arm(spark: SparkSession, sf_dir: str) -> DataFrame:

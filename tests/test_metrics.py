@@ -80,7 +80,7 @@ def test_propagation(spark):
     for item, parent, warm in (("q1", "p", "alpha beta gamma"), ("q2", "p", "one two"), ("q3", None, "a"), ("q4", "none", "a"), ("q5", "p", "")):
         given += [{"item_id": item, "arm": "cold", "traffic_class": "propagation_probe", "parent_item_id": parent, "output_text": "one two"}, {"item_id": item, "traffic_class": "propagation_probe", "parent_item_id": parent, "output_text": warm}]
     df = rows(spark, *given)
-    got = pairing.propagation(pairing.pairs(df), pairing.last_rows(df).where("arm = 'warm'"), rouge_l)
+    got = pairing.propagation(pairing.pairs(df, "output_text", "parent_item_id"), pairing.last_rows(df).where("arm = 'warm'"), rouge_l)
     assert {r.status: r.n for r in got.collect()} == {"propagated": 1, "kept": 1, "unlinked": 1, "no_served_answer": 1, "no_warm_answer": 1}
 
 
