@@ -247,7 +247,7 @@ def pair_defects(pairs: DataFrame, labelled: dict[str, list[str]], contexts: Dat
     open_ = features.where("doubt").select("pair", "tail", "last_word")
     # How words end sentences is counted over all responses and contexts.
     texts = once.select("response").union(contexts.select("context")).where("response IS NOT NULL").distinct()
-    counts = texts.mapInPandas(_grams_of, "gram string, n bigint, n_end bigint").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
+    counts = materialise(texts.mapInPandas(_grams_of, "gram string, n bigint, n_end bigint").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")))
     size = F.size("tail")
     grams = [F.concat_ws(" ", F.slice("tail", F.greatest(size - n + 1, F.lit(1)), F.lit(n))) for n in (1, 2, 3)]
     asked = open_.select("pair", "last_word", F.posexplode(F.array_distinct(F.array(*grams))).alias("k", "gram"))
