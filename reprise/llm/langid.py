@@ -34,8 +34,10 @@ TEMPERATURE = 8.0
 #: A text is of none of the models' languages if its cross-entropy per character is beyond so many
 #: times what unseen text of the language has on average.
 REJECT = 4.0
-#: Sentences that a stretch of prose needs.
-SENTENCES = 2
+#: Sentences that a stretch of prose needs, and words that each of them needs.
+SENTENCES, SENTENCE_WORDS = 2, 3
+#: Han characters that count as a word: Chinese has no spaces, so a whole clause is one token.
+HAN_WORD = 2
 
 # Two-letter codes of ISO 639-1.
 ISO_CODES = frozenset(
@@ -65,6 +67,7 @@ def label_language(label: Column) -> Column:
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?](?=[\s\"'”’»)]|\Z)|[。！？]|[\r\n]+")
 _LETTER = re.compile(r"[^\W\d_]")
+_HAN = re.compile(r"[\u3400-\u4dbf\u4e00-\u9fff]")
 _PROSE = re.compile(r"[(\"'“„«¿¡]*[^\W\d_][^\W\d_'’-]*[,.;:!?)\"'”“»]*\Z")
 _LOGGED = re.compile(r"\d:\d\d:\d\d|\w=\S")
 
@@ -311,8 +314,8 @@ _SEGMENT = "struct<start:int,end:int,lang:string,confidence:double,sentences:int
 LABELLED_SCHEMA = f"doc_id bigint, label_lang string, lang string, confidence double, mixed array<string>, segments array<{_SEGMENT}>"
 
 
-def _stretches(text: str, scores: np.ndarray, sizes: np.ndarray, languages: list[str]) -> tuple[list[dict], list[str]]:
-    """Segments of a text, and the languages that it holds at least `SENTENCES` sentences of prose in."""
+def _stretches(text: str, scores: np.ndarray, lengths: np.ndarray, languages: list[str]) -> tuple[list[dict], list[str]]:
+    """Segments of a text, whose sentences have `lengths` words, and the languages that it holds at least `SENTENCES` sentences of prose in."""
     path = viterbi(scores)
     spans = _sentence_spans(text)
     segments, prose = [], {}
@@ -320,13 +323,19 @@ def _stretches(text: str, scores: np.ndarray, sizes: np.ndarray, languages: list
     for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(path)]):
         j = path[a]
         others = np.delete(scores[a:b], j, axis=1).max(axis=1, initial=-np.inf)
-        n = int(((scores[a:b, j] - others > CLEAR) & (sizes[a:b] >= 3)).sum())
+        n = int(((scores[a:b, j] - others > CLEAR) & (lengths[a:b] >= SENTENCE_WORDS)).sum())
         segments.append({"start": spans[a][0], "end": spans[b - 1][1], "lang": languages[j], "confidence": float(posterior(scores[a:b].sum(axis=0))[j]), "sentences": n})
         if n >= SENTENCES:
             prose[j] = True
     return segments, [languages[j] for j in sorted(prose)]
 
 
+def _length(word: str) -> int:
+    """Words that a token counts as: one, but for Han characters one for each `HAN_WORD` of them."""
+    han = len(_HAN.findall(word))
+    return -(-han // HAN_WORD) + (han < len(word))
+
+
 def _sentences(tokens: list[str]) -> tuple[list[str], list[int]]:
     """(words, words per sentence) of a token sequence; sentences without words don't count."""
     words, sizes, n = [], [], 0
@@ -366,6 +375,7 @@ def label_texts(model: KneserNey, texts: list[str]) -> list[tuple]:
     start = np.cumsum(sizes) - sizes
     scores = np.add.reduceat(by_kind[codes], start, axis=0) if len(sizes) else np.zeros((0, len(model.languages)), np.float32)
     chars = np.add.reduceat(drawn[codes], start) if len(sizes) else sizes
+    lengths = np.add.reduceat(np.array([_length(w) for w in kinds], np.int64)[codes], start) if len(sizes) else sizes
     per_text = np.array([len(ns) for _, ns in split], np.int64)
     upto = np.cumsum(per_text)
     best = scores.argmax(axis=1) if len(scores) else sizes
@@ -382,7 +392,7 @@ def label_texts(model: KneserNey, texts: list[str]) -> list[tuple]:
             continue
         segments, prose = [], []
         if n > 1 and (best[end - n : end] != best[end - n]).any():
-            segments, prose = _stretches(text, own, sizes[end - n : end], model.languages)
+            segments, prose = _stretches(text, own, lengths[end - n : end], model.languages)
         language, sure = model.languages[j], float(posterior(total)[j])
         if len(prose) > 1:
             out.append((language, sure, prose, segments))

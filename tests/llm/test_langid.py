@@ -67,6 +67,17 @@ def test_mixed_texts(model):
     assert label_texts(model, [prose(rng, "en", 4) + " " + prose(rng, "es", 1)])[0][2] == []
 
 
+def test_mixed_chinese():
+    rng = random.Random(6)
+    zh = ["供应商在高负载下检查了日志归档", "审计小组撤销了终止通知", "服务在每个夜晚之后都被重新启动", "客户在等待期间没有人检查窗口"]
+    fitted = fit({"en": [prose(rng, "en", 6) for _ in range(60)], "zh": ["。".join(rng.choices(zh, k=4)) + "。" for _ in range(60)]})
+    en, two = prose(rng, "en", 3), f"{zh[0]}。{zh[1]}，{zh[2]}。"
+    lang, _, mixed, segments = label_texts(fitted, [en + "\n\n" + two])[0]
+    assert lang == "en" and mixed == ["en", "zh"] and [(s["lang"], s["sentences"]) for s in segments] == [("en", 3), ("zh", 2)]
+    # One sentence, or two single words, make no text mixed.
+    assert [g[2] for g in label_texts(fitted, [en + "\n\n" + zh[0] + "。", en + " 窗口。通知。"])] == [[], []]
+
+
 def test_log_lines_are_no_prose():
     text = "A sentence stands here.\n2026-05-18T22:18:57Z INFO audit.X-9 code=claus blocks=12\nAnd x=1 is a sentence about one assignment."
     assert without_logs(text).split("\n")[1].strip() == "" and without_logs(text).split("\n")[2].startswith("And") and len(without_logs(text)) == len(text)
