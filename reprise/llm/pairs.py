@@ -5,7 +5,7 @@ Five kinds, at most one per record, in this order: `empty`, `copies_question`, `
 prompt and response are compared by the posteriors of a character n-gram naive Bayes model. A text
 counts as truncated if its last words hardly ever end a text: the likelihood of an end after an
 n-gram is estimated from all responses and contexts, interpolated from one word to three, in
-distributed counts.
+distributed counts. So does one whose last line is only the marker of a list's next item.
 """
 
 from __future__ import annotations
@@ -153,6 +153,8 @@ def other_language(model: NaiveBayes, text: str, question: str, known: dict[str,
 # --- ends of texts -----------------------------------------------------------------------------
 
 _TAIL_NOTE = re.compile(r"\s*\([^()]{0,40}\)\s*\.?\s*$")
+#: A last line that is nothing but the marker of a list's next item; a figure alone is an answer.
+_MARKER = re.compile(r"\n[^\S\n]*(?:(\d+)[.)]|[-*•–])\s*$")
 _CLOSED = re.compile(r"[.!?。！？]['\"”’»)\]]*\s*$")
 _HAN = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
 _PIECE = re.compile(rf"[{_HAN}]|[^\W{_HAN}]+(?:[-.'’:/][^\W{_HAN}]+)*|[^\w\s]")
@@ -160,13 +162,23 @@ _PIECE = re.compile(rf"[{_HAN}]|[^\W{_HAN}]+(?:[-.'’:/][^\W{_HAN}]+)*|[^\w\s]"
 
 def shape(word: str) -> str:
     """A word as the model sees it: figures and names are one kind each."""
-    if word.isdigit() or re.fullmatch(r"[\d.:,/-]+", word):
+    if word.isdigit() or re.fullmatch(r"[.:,/-]*\d[\d.:,/-]*", word):
         return "#"
     if any(c.isdigit() for c in word) or (word[:1].isupper() and not word.isupper()) or (len(word) > 1 and word.isupper()):
         return "N"
     return word.lower()
 
 
+def ends_in_marker(text: str) -> bool:
+    """Whether a list stops right after the marker of an item: a bullet, 1 under a colon, or the number after an item's."""
+    m = _MARKER.search(text)
+    if not m:
+        return False
+    if m[1] is None or (int(m[1]) == 1 and text[: m.start()].rstrip().endswith((":", "："))):
+        return True
+    return bool(re.search(rf"(?m)^[^\S\n]*{int(m[1]) - 1}[.)](?:\s+\S|[^\s\d])", text[: m.start()]))
+
+
 def ends(text: str) -> tuple[list[str], bool]:
     """(shapes of the last three pieces before a final stop, whether there is one)."""
     bare = _TAIL_NOTE.sub(".", text) if _TAIL_NOTE.search(text) else text
@@ -193,6 +205,8 @@ def _features(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
                     defect = "refusal"
                 elif question and other_language(model, text, question, known):
                     defect = "other_language"
+                elif ends_in_marker(text):
+                    defect = "truncated"
                 else:
                     shapes, closed = ends(text)
                     words = _PIECE.findall(text)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from reprise.llm.langid import fit
-from reprise.llm.pairs import NaiveBayes, copies, ends, is_empty, other_language, pair_defects, refuses
+from reprise.llm.pairs import NaiveBayes, copies, ends, ends_in_marker, is_empty, other_language, pair_defects, refuses, shape
 
 STOCK = {
     "en": "the server was restarted after every night because nobody had checked which window they should have used before this week".split(),
@@ -59,6 +59,29 @@ def test_ends():
     assert ends("It took 5 minutes (timeout).") == (["took", "#", "minutes"], True)
     assert ends("owner of Kel-9") == (["owner", "of", "N"], False)
     assert ends("它在备用") == (["在", "备", "用"], False)
+    assert ends("nach dem Fenster, dann,") == ([",", "dann", ","], False)
+    assert [shape(x) for x in (",", ":", "-", "/", "9", "1,5", "-3", "9/10")] == [",", ":", "-", "/", "#", "#", "#", "#"]
+
+
+def test_list_markers():
+    for text in ("With:\n1. Mouwes relay\n2.", "With:\n1) Mouwes\n2)\n", "With:\n1.", "With:\r\n1. Mouwes\r\n2. Marn\r\n3.", "With:\n- Mouwes\n-", "* Mouwes\n* "):
+        assert ends_in_marker(text), text
+    for text in ("2.", "It took\n2.", "With:\n1. Mouwes relay\n2. Marn hub", "With:\n1. Mouwes relay.", "Version 1. Mouwes\n2.", "With:\n- Mouwes\n- 3."):
+        assert not ends_in_marker(text), text
+
+
+def test_cut_lists(spark):
+    rng = random.Random(11)
+    sound = [prose(rng, "en", 2) for _ in range(100)]
+    # Figures that often end a sentence don't make a trailing comma, colon, dash or slash sound.
+    sound += [f"The window was {n}. The server was {n}." for n in range(100)]
+    rows = [(f"s{i}", "Who?", t, None) for i, t in enumerate(sound)]
+    rows += [(f"m{i}", "Who?", "The server was restarted with:\n1. Mouwes relay\n" + m, None) for i, m in enumerate(("2.", "2)"))]
+    rows += [(f"c{i}", "Who?", "The server was restarted after every night" + c, None) for i, c in enumerate((",", ":", "-", "/", " -"))]
+    df = spark.createDataFrame(rows, "record_id string, prompt string, response string, context_id string")
+    none = spark.createDataFrame([], "context_id string, context string")
+    got = {r.record_id: r.defect for r in pair_defects(df, sample(), none).collect()}
+    assert got == {x: "truncated" for x in ("m0", "m1", "c0", "c1", "c2", "c3", "c4")}
 
 
 def test_pairs(spark):
