@@ -67,14 +67,17 @@ def is_empty(text: str | None) -> bool:
 def copies(text: str, question: str | None) -> bool:
     """Nothing but the question, once or repeated, perhaps under a label."""
     asked = _WORD.findall((question or "").lower())
-    words = _WORD.findall(text.lower())
+    found = list(_WORD.finditer(text.lower()))
+    words = [m[0] for m in found]
     if not asked or len(words) < len(asked):
         return False
     extra = len(words) % len(asked)
     for skip in {0, extra} | ({len(words) - len(asked)} if len(words) < 2 * len(asked) else set()):
         rest = words[skip:]
         if skip <= LABEL_WORDS and rest and len(rest) % len(asked) == 0 and rest == asked * (len(rest) // len(asked)):
-            return skip == 0 or bool(re.search(r"[:>\])\-–—=\n]", text.lower().split(asked[0])[0]))
+            # The label is what stands before the question's first word; a separator must be in it.
+            if skip == 0 or re.search(r"[:>\])\-–—=\n]", text.lower()[: found[skip].start()]):
+                return True
     # A label before each repetition.
     for k in range(1, LABEL_WORDS + 1):
         size = len(asked) + k

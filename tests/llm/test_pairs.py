@@ -32,6 +32,11 @@ def test_copies():
         assert copies(text, q), text
     for text in (q + " The owner moved it.", "The owner moved it.", "run 9.13", q[:20], f"We answer who {q}"):
         assert not copies(text, q), text
+    # Questions whose first word stands within the label.
+    for label, q in (("Question", "Qu'est-ce que la fenêtre ?"), ("Question", "On which day was it moved?"), ("Input", "In which window was it?"), ("Frage", "A oder B?"), ("Anfrage", "An wem lag es?")):
+        assert copies(f"{label}: {q}", q) and copies(f"{label} - {q}", q) and not copies(f"{label} {q}", q), q
+    # The words before it are no label, but each repetition has one.
+    assert copies("Question on day one Question on day one", "on day one")
     assert not copies("anything", None) and not copies("anything", "?!")
 
 
