@@ -152,11 +152,11 @@ def so04_shared_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def so05_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Workers of each run by when they were first seen, earliest three."""
+    """All workers of each run, ranked by when they were first seen."""
     from pyspark.sql import Window
 
     first = views.requests(spark, sf_dir, "run_id", "worker_id", "started_at").groupBy("run_id", "worker_id").agg(F.min("started_at").alias("first_at"))
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy("first_at", "worker_id"))).where("rank <= 3")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy("first_at", "worker_id")))
 
 
 _SEC = "epoch_us(started_at) / 1e6"
