@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 RESAMPLES, ALPHA, SEED = 2000, 0.05, "bootstrap"
 #: The exact bootstrap needs its values in one place, in order; larger samples use `poisson_mean_interval`.
@@ -62,26 +67,76 @@ def bootstrap(rows: DataFrame, keys: list[str], value: str, order: str, statisti
     return flat.groupBy(*keys).applyInPandas(run, schema)
 
 
-def poisson_mean_interval(rows: DataFrame, keys: list[str], value: str, unit: str, resamples: int = 200) -> DataFrame:
+# The Poisson(1) distribution function at 0, 1, 2, ...
+_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+#: Rows drawn for at once, and groups whose sums a task holds before it hands them on.
+_DRAWN, _HELD = 256, 64
+
+
+def _draws(hashes: np.ndarray, resamples: int) -> np.ndarray:
+    """Poisson(1) weights, rows by replicates: of xxhash64(unit, r) for r from 1, given xxhash64(unit)."""
+    p1, p2, p3, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    r = np.arange(1, resamples + 1, dtype=np.uint64) * p1
+    h = (hashes.astype(np.int64).view(np.uint64) + p5 + np.uint64(4))[:, None] ^ r
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    u = (h ^ (h >> np.uint64(32))) & np.uint64((1 << 53) - 1)
+    weights = np.zeros(u.shape, np.uint8)
+    for step in _POISSON:
+        weights += u >= np.uint64(math.ceil(step * (1 << 53)))
+    return weights.astype(float)
+
+
+def _weighed_sums(schema: pa.Schema, keys: int, resamples: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def out() -> pa.RecordBatch:
+            columns = [[k[i] for k in held] for i in range(keys)] + [[x[i] for x in held.values()] for i in range(4)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        for batch in batches:
+            v, h = (batch.column(keys + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            places: dict[tuple, list[int]] = {}
+            for n, k in enumerate(zip(*(batch.column(i).to_pylist() for i in range(keys)))) if keys else ((n, ()) for n in range(len(v))):
+                places.setdefault(k, []).append(n)
+            for k, at in places.items():
+                if k not in held and len(held) >= _HELD:
+                    yield out()
+                    held.clear()
+                sums = held.setdefault(k, [0, 0.0, np.zeros(resamples), np.zeros(resamples)])
+                for i in range(0, len(at), _DRAWN):
+                    rows = at[i : i + _DRAWN]
+                    weights = _draws(h[rows], resamples)
+                    sums[0] += len(rows)
+                    sums[1] += float(v[rows].sum())
+                    sums[2] += weights.sum(axis=0)
+                    sums[3] += v[rows] @ weights
+        if held:
+            yield out()
+
+    return run
+
+
+def poisson_mean_interval(rows: DataFrame, keys: list[str], value: str, unit: str, resamples: int = RESAMPLES) -> DataFrame:
     """(keys, n, point, low, high) of the mean, for samples of any size.
 
-    Every replicate weighs a row by a Poisson(1) number drawn from a hash of its `unit`, so weighted
-    sums aggregate partially and nothing is gathered.
+    Every replicate weighs a row by a Poisson(1) number drawn from a hash of its `unit`. Tasks hand
+    on one sum per group and replicate, so nothing is gathered.
     """
-    # The Poisson(1) distribution function at 0, 1, 2, ...
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
     v = F.col(value).cast("double")
-    draw = lambda r: F.pmod(F.xxhash64(F.col(unit), r), F.lit(1 << 53)) / float(1 << 53)
-    uniform = F.transform(F.sequence(F.lit(1), F.lit(resamples)), draw)
-    drawn = rows.where(v.isNotNull()).select(*keys, v.alias("_v"), uniform.alias("_u"))
-    # Columns of their own, so that a number is drawn once per row and replicate.
-    weighed = drawn.select(*keys, "_v", F.transform("_u", lambda u: sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))).alias("_w"))
-    weight = lambda r: F.element_at("_w", r + 1)
-    sums = [F.try_divide(F.sum(weight(r) * F.col("_v")), F.sum(weight(r))).alias(f"m{r}") for r in range(resamples)]
-    found = weighed.groupBy(*keys).agg(F.count("_v").alias("n"), F.avg("_v").alias("point"), *sums)
-    every = F.array_sort(F.filter(F.array(*(f"m{r}" for r in range(resamples))), lambda x: x.isNotNull()))
-    at = lambda p: F.element_at(every, F.greatest(F.lit(1), F.ceil(F.size(every) * p).cast("int")))
-    return found.select(*keys, "n", "point", at(ALPHA / 2).alias("low"), at(1 - ALPHA / 2).alias("high"))
+    drawn = rows.where(v.isNotNull()).select(*keys, v.alias("_v"), F.xxhash64(F.col(unit)).alias("_h"))
+    kept = [f for f in drawn.schema.fields if f.name not in ("_v", "_h")]
+    made = StructType([*kept, *(StructField(c, t) for c, t in (("_n", LongType()), ("_s", DoubleType()), ("_w", ArrayType(DoubleType())), ("_wv", ArrayType(DoubleType()))))])
+    sums = drawn.mapInArrow(_weighed_sums(to_arrow_schema(made), len(keys), resamples), made)
+    each = sums.select(*keys, "_n", "_s", F.posexplode(F.arrays_zip("_w", "_wv")).alias("_r", "_x"))
+    mean = F.try_divide(F.sum("_x._wv"), F.sum("_x._w"))
+    found = each.groupBy(*keys, "_r").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"), mean.alias("_m"))
+    first = lambda c: F.max(F.when(F.col("_r") == 0, F.col(c)))
+    every = found.groupBy(*keys).agg(first("_n").alias("n"), (first("_s") / first("_n")).alias("point"), F.array_sort(F.collect_list("_m")).alias("_every"))
+    at = lambda p: F.element_at("_every", F.greatest(F.lit(1), F.ceil(F.size("_every") * p).cast("int")))
+    return every.select(*keys, "n", "point", at(ALPHA / 2).alias("low"), at(1 - ALPHA / 2).alias("high"))
 
 
 def topk_divergence(cold: Column, warm: Column) -> Column:
