@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reprise.functions import text as T
@@ -29,11 +29,16 @@ RESULT = f"run {RUN}, requests array<struct<{', '.join(f'{a}:{b}' for a, b in (x
 SNAPSHOT = "url string, captured_at_utc string, counters map<string,double>, sample_count bigint, error string"
 
 
+def _file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(ordinal, file, name, value): lines in the order of files and of lines within them."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), F.monotonically_increasing_id().alias("n"), "value")
+    # Ids grow along a file's splits; with the file's name they give a total order.
+    return with_ordinal(rows.select(F.struct(F.col("file").alias("f"), "n").alias("o"), "file", "name", "value"), "o").select("ordinal", "file", "name", "value")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, value): lines in the order of files and of lines within them."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n"), "value")
-    # Ids grow along a file's splits; with the file's name they give a total order.
-    return with_ordinal(rows.select(F.struct("f", "n").alias("o"), "value"), "o").select("ordinal", "value")
+    return _file_lines(spark, path).select("ordinal", "value")
 
 
 def read_manifest(spark: SparkSession, path: str, max_items: int | None = None) -> DataFrame:
@@ -70,12 +75,22 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Raw event lines of a JSONL or csv audit, ready for the quarantining parser; csv records may span lines."""
-    files = spark.read.text(path, wholetext=False).select(F.col("_metadata.file_name").alias("source_file"), "value")
-    fmt = F.when(F.col("source_file").endswith(".csv"), "csv").otherwise("jsonl")
-    rows = _lines(spark, path).select(F.col("ordinal").alias("line_id"), F.col("value").alias("raw_line"))
-    one = files.select("source_file", fmt.alias("line_format")).limit(1)
-    return rows.join(F.broadcast(one))  # one row: the audit's name and format
+    """Raw event records of JSONL or csv audits, ready for the quarantining parser, numbered by their first lines.
+
+    A line of JSONL is a record. A csv record ends at a line end outside quotes, as in
+    `assemble_csv_records`; one that its file leaves unfinished is kept as it is.
+    """
+    is_csv = F.col("name").endswith(".csv")
+    lines = _file_lines(spark, path)
+    plain = lines.where(~is_csv).select(F.col("ordinal").alias("line_id"), F.col("value").alias("raw_line"), F.col("name").alias("source_file"), F.lit("jsonl").alias("line_format"))
+    of_file = Window.partitionBy("file").orderBy("ordinal")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    before = F.coalesce(F.sum(quotes).over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = lines.where(is_csv).withColumn("first", F.when(before % 2 == 0, F.col("ordinal")))
+    held = begun.withColumn("line_id", F.max("first").over(of_file.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = F.array_sort(F.collect_list(F.struct("ordinal", "value")))
+    records = held.groupBy("line_id", "name").agg(F.array_join(F.transform(pieces, lambda x: x["value"]), "\n").alias("raw_line"))
+    return plain.unionByName(records.select("line_id", "raw_line", F.col("name").alias("source_file"), F.lit("csv").alias("line_format")))
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:

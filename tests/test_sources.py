@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from reprise.operators.logs import counter, counter_deltas, decision_summary, fleet_delta, log_summary, samples
 from reprise.operators.ordinals import running_sum, with_ordinal
-from reprise.operators.quarantine import valid_events
+from reprise.operators.quarantine import assemble_csv_records, valid_events
 from reprise.sources import readers, writers
 
 
@@ -42,6 +42,17 @@ def test_audit_file(spark, tmp_path):
     assert valid_events(readers.read_audit(spark, str(tmp_path / "a.jsonl"))).count() == 1
 
 
+def test_audit_folder(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,1\ny,"one\n\ntwo ""2"""\nz,3\nw,"open\nlast')
+    (tmp_path / "b.jsonl").write_text('{"a": "\\""}\n{"b": 1}\n')
+    (tmp_path / "c.csv").write_text("v,5\n")
+    got = [tuple(r) for r in readers.read_audit(spark, str(tmp_path)).orderBy("line_id").select("source_file", "line_format", "raw_line").collect()]
+    read = {n: (tmp_path / n).read_text().split("\n") for n in ("a.csv", "c.csv")}
+    a = [("a.csv", "csv", r) for r in assemble_csv_records(read["a.csv"])]
+    assert a[1][2] == 'y,"one\n\ntwo ""2"""' and a[3][2] == 'w,"open\nlast'
+    assert got == [*a, ("b.jsonl", "jsonl", '{"a": "\\""}'), ("b.jsonl", "jsonl", '{"b": 1}'), ("c.csv", "csv", "v,5")]
+
+
 def test_sse(spark, tmp_path):
     lines = ["", 'data: {"id": "x1", "choices": [{"delta": {"content": ""}}]}', 'data: {"id": "x2", "choices": [{"delta": {"content": "He"}}]}', "data: broken", 'data: {"choices": [{"delta": {"content": "y"}}], "usage": {"prompt_tokens": 5, "completion_tokens": 2, "prompt_tokens_details": {"cached_tokens": 3}}}', "data: [DONE]"]
     (tmp_path / "s.txt").write_text("\n".join(lines))
