@@ -123,9 +123,9 @@ def ag35_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mf03_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Divergence of every vector's first eight entries, taken for logits of tokens, from the next vector's, one token apart."""
+    """Divergence of every vector's entries, taken for logits of tokens, from the next vector's, one token apart."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    top = lambda shift: F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.struct((i + shift).cast("bigint").alias("token_id"), F.element_at("embedding", i).cast("double").alias("logprob")))
+    top = lambda shift: F.transform("embedding", lambda v, i: F.struct((i + 1 + shift).cast("bigint").alias("token_id"), v.cast("double").alias("logprob")))
     cold = e.select("vec_id", top(0).alias("cold"))
     warm = e.select((F.col("vec_id") - 1).alias("vec_id"), top(1).alias("warm"))
     return cold.join(warm, "vec_id").select("vec_id", F.round(stats.topk_divergence(F.col("cold"), F.col("warm")), 6).alias("kl"))
@@ -189,12 +189,12 @@ ORACLES = {
       g AS (SELECT p.run_id, p.item_id, p.id, count(*) FILTER (WHERE (t.end_s, t.id) > p.last AND t.end_s <= p.start_s AND t.end_s > t.start_s) AS gap FROM p JOIN t ON p.run_id = t.run_id GROUP BY ALL) SELECT *, greatest(0, 5 - gap) AS shortfall FROM g""",
     "jn16_nearest_donor": f"WITH {ITEMS_SQL}, i AS (SELECT item_id AS id, source_id, (metadata::JSON ->> '$.stream_position')::BIGINT AS position FROM items) SELECT a.id, a.source_id, a.position, b.id AS stage, b.position AS stage_position FROM i a ASOF JOIN i b ON a.source_id = b.source_id AND a.position > b.position",
     "ag35_calibration": f"{_PAIRS}, s AS (SELECT CASE WHEN k.prompt_tokens < 300 THEN 'short' WHEN k.prompt_tokens < 900 THEN 'middle' ELSE 'long' END AS band, ratio AS x FROM clean JOIN c k ON k.item_id = clean.item_id WHERE ratio IS NOT NULL AND NOT isnan(ratio)) SELECT band, count(*) AS n_pairs, avg(x) AS mean, quantile_cont(x, 0.05) AS p05, quantile_cont(x, 0.5) AS p50 FROM s GROUP BY ROLLUP (band)",
-    "mf03_divergence": """WITH p AS (SELECT a.vec_id, a.embedding[1:8] AS x, b.embedding[1:8] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+    "mf03_divergence": """WITH p AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
       u AS (SELECT vec_id, list_append(list_transform(x, lambda v: exp(v::DOUBLE)), exp(list_min(x)::DOUBLE - 1)) AS p, list_prepend(exp(list_min(y)::DOUBLE - 1), list_transform(y, lambda v: exp(v::DOUBLE))) AS q FROM p),
-      z AS (SELECT vec_id, list_transform(p, lambda v: v / list_sum(p)) AS p, list_transform(q, lambda v: v / list_sum(q)) AS q FROM u) SELECT vec_id, round(list_sum(list_transform(range(1, 10), lambda i: p[i] * ln(p[i] / q[i]))), 6) AS kl FROM z""",
+      z AS (SELECT vec_id, list_transform(p, lambda v: v / list_sum(p)) AS p, list_transform(q, lambda v: v / list_sum(q)) AS q FROM u) SELECT vec_id, round(list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i] * ln(p[i] / q[i]))), 6) AS kl FROM z""",
     "so01_prompt_union": f"WITH {ITEMS_SQL}, d AS (SELECT unnest(donor_prompts) AS d FROM items) SELECT 'donor' AS role, count(*) AS n_prompts, sum(length(d.text))::BIGINT AS n_chars FROM d UNION ALL SELECT 'recipient', count(*), sum(length(recipient_prompt))::BIGINT FROM items",
     "so03_unused_sources": f"WITH {SOURCES_SQL} SELECT source_id FROM sources WHERE source_id NOT IN (SELECT source_id FROM workload_items)",
     "so04_shared_datasets": "SELECT dataset FROM source_records INTERSECT SELECT dataset FROM workload_items",
-    "so05_first_seen": f"WITH {REQUESTS_SQL}, f AS (SELECT run_id, worker_id, min(started_at) AS first_at FROM requests GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY first_at, worker_id) AS rank FROM f) WHERE rank <= 3",
+    "so05_first_seen": f"WITH {REQUESTS_SQL}, f AS (SELECT run_id, worker_id, min(started_at) AS first_at FROM requests GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY first_at, worker_id) AS rank FROM f",
 }
 ORACLES["mf04_first_divergence"] = f"WITH {ITEMS_SQL}, i AS (SELECT item_id, {sql_token_ids('recipient_prompt')} AS a, {sql_token_ids('donor_prompts[1].text')} AS b FROM items) SELECT item_id, list_min(list_filter(range(0, least(len(a), len(b))), lambda k: a[k + 1] <> b[k + 1])) AS first_divergence FROM i"

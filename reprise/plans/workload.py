@@ -23,17 +23,17 @@ TRANSFORMS = {
 
 
 def _built(transform: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of a transform, prompts by their digests."""
+    """Items of a transform, prompts by their digests; probes that can't be built with the reason."""
     i = W.build(views.sources(spark, sf_dir), table(spark, sf_dir, "transform_configs"), transform, REWORDINGS)
     donor = F.array_join(F.transform("donors", lambda d: F.concat(d.donor_id, F.lit(":"), F.md5(d.text))), ",")
-    return i.select("item_id", "source_id", "transform", donor.alias("donors"), F.md5("recipient").alias("recipient"), F.length("recipient").cast("bigint").alias("n_chars"), "negative_control")
+    return i.select("item_id", "source_id", "transform", donor.alias("donors"), F.md5("recipient").alias("recipient"), F.length("recipient").cast("bigint").alias("n_chars"), "negative_control", *(["failure"] if transform in W.PROBES else []))
 
 
 def _probed(transform: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fact probes of a kind that no dataset of the tables asks for, on all sources."""
+    """Fact probes of a kind that no dataset of the tables asks for, on all sources; such as can't be built with the reason."""
     configs = table(spark, sf_dir, "transform_configs").withColumn("transforms", F.array(F.lit(transform)))
     i = W.build(views.sources(spark, sf_dir), configs, transform)
-    return i.select("item_id", "source_id", "transform", F.md5(F.col("donors")[0]["text"]).alias("donor"), F.md5("recipient").alias("recipient"))
+    return i.select("item_id", "source_id", "transform", F.md5(F.col("donors")[0]["text"]).alias("donor"), F.md5("recipient").alias("recipient"), "failure")
 
 
 def jn18_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import json
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,10 +158,10 @@ def test_normalized_ids(spark):
 def test_statistics(spark):
     assert stats.interval([]) is None and stats.interval([2.0]) == (2.0, 2.0, 2.0)
     values = [float(x) for x in range(1, 40)]
-    one = stats.interval(values, stats.mean, 300)
-    assert one == stats.interval(values, stats.mean, 300) and one[1] < one[0] < one[2]
+    one = stats.interval(values, np.mean, 300)
+    assert one == stats.interval(values, np.mean, 300) and one[1] < one[0] < one[2]
     df = spark.createDataFrame([("g", x, int(x)) for x in values], "g string, x double, o int")
-    r = stats.bootstrap(df, ["g"], "x", "o", stats.mean, 300).first()
+    r = stats.bootstrap(df, ["g"], "x", "o", np.mean, 300).first()
     assert (r.point, r.low, r.high) == one
     p = stats.poisson_mean_interval(df, ["g"], "x", "o", 200).first()
     assert abs(p.point - 20) < 1e-9 and abs(p.low - one[1]) < 2 and abs(p.high - one[2]) < 2
@@ -205,4 +206,7 @@ def test_workload(spark):
     assert built["rag_reorder"]["s1"].recipient.index("Para two") < built["rag_reorder"]["s1"].recipient.index("Para one 1")
     assert len(built["multi_donor_composite"]["s1"].donors) == 2 and "Document 2:\nPara two." in built["multi_donor_composite"]["s1"].recipient
     assert workload.build(src, config, "fuzzy_edit").count() == 0
-    assert workload.split_context("a. " * 300, 4, 100) == workload.split_context("a. " * 300, 4, 100) and workload.split_context("  ", 4, 10) == [""]
+    cut = spark.createDataFrame([(1, "a. " * 300), (2, "  "), (3, "one\n \ntwo\n\n\nthree"), (4, "x" * 250)], "i int, c string")
+    got = {r.i: r.parts for r in workload.with_segments(cut.selectExpr("i", "c", "2 AS most", "100 AS least"), "c", "most", "least").collect()}
+    assert [len(x) for x in got[1]] == [647, 251] and set(" ".join(got[1])) == set("a. ")
+    assert got[2] == [""] and got[3] == ["one", "two"] and got[4] == ["x" * 125, "x" * 125]
