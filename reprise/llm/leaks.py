@@ -1,221 +1,277 @@
 """Evaluation passages that stand in training text, found with spaced seeds.
 
-Fixed masks pick some of five consecutive words and ignore the rest; the picked words' hashes of all
-passages form one sorted array that every corpus document is looked up in. A run of five equal words
-hits every mask, a changed word under an ignored position none the less. Hits are then extended to
-runs of equal words, and runs are chained in passage order within a bounded stretch.
+A seed is the hash of the words that a fixed mask picks out of some consecutive ones; the words under
+its gaps may be any. Seeds of passages and of documents are tables that are joined. Before the join a
+filter of fixed size, made of the passages' seeds, keeps nearly all other seeds of the corpus where
+they are. Around the hits of a pair the overlap is followed along the alignment, changed words being
+tolerated; runs of equal words within overlaps are chained in the order of both texts.
 
-The passages are a stated query set: they are handed to the workers in blocks of bounded size, each
-block scanning the corpus once, so nothing is shuffled and nothing grows with the corpus.
+The shortest mask spans no more words than a run that counts, so no run is missed. Seeds whose gaps
+lie on changed words find overlaps that have no such run at all.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reprise.operators.skew import grid_join
+from reprise.session import materialise
+
 _WORD = re.compile(r"\w+")
-#: 1: the word counts; 0: it is ignored. Every mask spans at most `RUN` words, so no run is missed.
-MASKS = ("11011", "10111")
-#: Shortest run of equal consecutive words that counts.
+#: 1: the word counts; 0: it may be any.
+MASKS = ("11011", "1101011", "11100111")
+#: Shortest run of equal consecutive words that counts. The first mask spans as many.
 RUN = 5
+#: Shortest run within an overlap of altered text, and how many words in a row may differ there.
+ALTERED_RUN, TOLERATED = 2, 2
 #: Share of a passage's words that must be found, and length of the stretch in passages.
 SHARE, STRETCH = 0.5, 1.5
-#: Words of the passages that one block hands to the workers at most (one passage at least).
-BLOCK_WORDS = 2_000_000
+#: Bits of the filter: a fixed size, whatever the passages and the corpus.
+FILTER_BITS = 24
 
-FOUND_SCHEMA = "doc_id bigint, eval_id bigint, words_found int, passage_words int, first_word int, last_word int"
+_SEEDED = "doc_id bigint, text_id binary, words array<bigint>, seeds array<bigint>, places array<int>"
+_PASSAGES = "eval_id bigint, passage_id binary, words array<bigint>, seeds array<bigint>, places array<int>"
+_VERIFIED = "text_id binary, passage_id binary, words_found int, words_similar int, passage_words int, first_word int, last_word int"
 
 
 def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def best_chain(blocks: list[tuple[int, int, int]], longest: int) -> tuple[int, int, int]:
-    """(words, first, end) of the best chain of runs `(doc position, passage position, length)`.
+def word_hashes(texts: list[str]) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text; a word is hashed once."""
+    split = [words(t) for t in texts]
+    codes, kinds = pd.factorize(np.array([w for x in split for w in x], object))
+    hashed = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in kinds], np.uint64)
+    flat = hashed[codes] if len(kinds) else np.zeros(0, np.uint64)
+    return np.split(flat, np.cumsum([len(x) for x in split])[:-1]) if split else []
+
+
+def seeds(ids: np.ndarray, masks: tuple[str, ...] = MASKS) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of every seed of a sequence of word hashes; the mask is part of the hash."""
+    codes, places = [], []
+    for number, mask in enumerate(masks):
+        n = len(ids) - len(mask) + 1
+        if n <= 0:
+            continue
+        code = np.full(n, number + 1, np.uint64)
+        for k in np.flatnonzero(np.array(list(mask)) == "1"):
+            code = (code ^ ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(29)
+        codes.append(code)
+        places.append(np.arange(n))
+    return (np.concatenate(codes), np.concatenate(places)) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _cells(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of a seed in the filter."""
+    return code & np.uint64((1 << FILTER_BITS) - 1), code >> np.uint64(64 - FILTER_BITS)
+
+
+class Filter:
+    """Which cells passages' seeds fall in: a bit array of fixed size."""
+
+    def __init__(self, cells: np.ndarray):
+        self.bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        np.bitwise_or.at(self.bits, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
+
+    def passes(self, code: np.ndarray) -> np.ndarray:
+        return np.logical_and(*((self.bits[c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 for c in _cells(code)))
+
+
+def wanted_hits(n_words: int) -> int:
+    """Places that seeds hit at least where half of `n_words` stand: a run of n words is hit at n - 4 places or more.
+
+    For altered text it is one place for as many words as the longest mask spans.
+    """
+    return max(1, -(-n_words // 2) // max(RUN, *(len(m) for m in MASKS)))
+
+
+def runs_on(ids: np.ndarray, text: np.ndarray, shift: int, least: int, hits: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Runs (place in ids, place in text, length) of equal words where a place of `ids` is that of `text` plus `shift`.
+
+    With `hits`, places in `ids`, only runs in overlaps that hold one of them: stretches in which no
+    more than `TOLERATED` words in a row differ.
+    """
+    low, high = max(0, shift), min(len(ids), len(text) + shift)
+    equal = np.concatenate([[False], ids[low:high] == text[low - shift : high - shift], [False]])
+    edge = np.flatnonzero(equal[1:] != equal[:-1])
+    start, end = edge[::2], edge[1::2]
+    kept = end - start >= least
+    if hits is not None and len(start):
+        part = np.concatenate([[0], np.cumsum(start[1:] - end[:-1] > TOLERATED)])
+        of = part[np.maximum(np.searchsorted(start, hits - low, side="right") - 1, 0)]
+        kept &= np.isin(part, of)
+    return [(low + a, low + a - shift, b - a) for a, b in zip(start[kept].tolist(), end[kept].tolist())]
+
+
+def best_chain(runs: list[tuple[int, int, int]], longest: int, least: int = RUN) -> tuple[int, int, int]:
+    """(words, first, end) of the best chain of runs `(doc place, passage place, length)`.
 
-    Runs follow each other in both texts, overlapping ones being shortened as long as `RUN` words
-    are left, and the chain covers at most `longest` words of the document.
+    Chained are pairs of equal words, later ones later in both texts, in parts of at least `least`
+    that follow each other along a run; all of them lie within `longest` words of the document. Runs
+    may be shortened at either end and the stretch may begin anywhere. For every pair the latest
+    start of a chain of each number of words is kept, and prefixes of the passage are looked up in
+    logarithmic time.
     """
-    blocks = sorted(blocks)
-    best = (0, 0, 0)
-    for s, (first, _, _) in enumerate(blocks):
-        end = first + longest
-        got: list[tuple[int, int, int]] = []  # words, doc end, passage end of the best chain ending in a run
-        for i, j, n in blocks[s:]:
-            n = min(n, end - i)
-            if n < RUN:
-                continue
-            top, at = n, (i + n, j + n)
-            for w, di, dj in got:
-                cut = max(0, di - i, dj - j)
-                if n - cut >= RUN and w + n - cut > top:
-                    top = w + n - cut
-            got.append((top, *at))
-            if top > best[0]:
-                best = (top, first, i + n)
+    runs = sorted(r for r in runs if r[2] >= least)
+    if not runs:
+        return 0, 0, 0
+    (i, _, _), (k, _, n) = runs[0], runs[-1]
+    if k + n - i <= longest and all(a + x <= b and p + x <= q for (a, p, x), (b, q, _) in zip(runs, runs[1:])):
+        return sum(x for _, _, x in runs), i, k + n
+    low = min(j for _, j, _ in runs)
+    width = max(j + x for _, j, x in runs) - low
+    most = min(width, longest)
+    if most < least:
+        return 0, 0, 0
+    tree = np.full((width + 1, most + 1), -1, np.int64)
+    steps: dict[int, list[tuple[int, int]]] = {}
+    for r, (i, _, x) in enumerate(runs):
+        for t in range(least - 1, x):
+            steps.setdefault(i + t, []).append((r, t))
+    last: dict[int, np.ndarray] = {}
+    waiting: list[tuple[int, int, np.ndarray]] = []
+    done, best = 0, (0, 0, 0)
+    for at in sorted(steps):
+        while done < len(waiting) and waiting[done][0] <= at - least:
+            _, k, row = waiting[done]
+            while k <= width:
+                np.maximum(tree[k], row, out=tree[k])
+                k += k & -k
+            done += 1
+        for r, t in steps[at]:
+            j = runs[r][1] + t - low  # place in the passage, from 0
+            row = np.full(most + 1, -1, np.int64)
+            row[least] = at - least + 1
+            k = j + 1 - least
+            while k > 0:
+                np.maximum(row[least:], tree[k][: most + 1 - least], out=row[least:])
+                k -= k & -k
+            if t >= least:
+                np.maximum(row[1:], last[r][:-1], out=row[1:])
+            last[r] = row
+            fits = np.flatnonzero(row >= max(0, at + 1 - longest))
+            if len(fits) and fits[-1] > best[0]:
+                best = (int(fits[-1]), int(row[fits[-1]]), at + 1)
+            waiting.append((at, j + 1, row))
     return best
 
 
-class Passages:
-    """The seeds of a block of passages, as sorted hash arrays."""
-
-    def __init__(self, passages: list[tuple[int, str]], masks: tuple[str, ...] = MASKS):
-        self.ids = [e for e, _ in passages]
-        texts = [words(p) for _, p in passages]
-        self.vocabulary: dict[str, int] = {}
-        for text in texts:
-            for w in text:
-                self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        self.texts = [np.array([self.vocabulary[w] for w in t], np.int64) for t in texts]
-        self.masks = [np.flatnonzero(np.array(list(m)) == "1") for m in masks]
-        # Of the words wanted, in runs of at least RUN, at least this many positions start a seed.
-        self.least = np.array([max(1, -(-len(t) // 2) // RUN) for t in self.texts], np.int64)
-        owner = np.concatenate([np.zeros(0, np.int64), *(np.full(len(t), n) for n, t in enumerate(self.texts))]).astype(np.int64)
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(t)) for t in self.texts)]).astype(np.int64)
-        flat = np.concatenate([np.zeros(0, np.int64), *self.texts])
-        self.seeds = []
-        for picks in self.masks:
-            code, ok = self._hash(flat, picks)
-            at = np.flatnonzero(ok & (owner[: len(code)] == owner[len(owner) - len(code) :])) if len(code) else np.zeros(0, np.int64)
-            order = at[np.argsort(code[at], kind="stable")]
-            self.seeds.append((code[order], owner[order], place[order]))
-
-    @staticmethod
-    def _hash(ids: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the picked words at each position, and whether all of them are known."""
-        n = max(0, len(ids) - RUN + 1)
-        code, ok = np.zeros(n, np.uint64), np.ones(n, bool)
-        for p in picks:
-            x = ids[p : p + n]
-            code = code * np.uint64(0x9E3779B97F4A7C15) + x.astype(np.uint64)
-            ok &= x > 0
-        return code, ok
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Equal seeds as arrays (position in `ids`, passage, position in passage), each once."""
-        found = []
-        for picks, (codes, owner, place) in zip(self.masks, self.seeds):
-            code, ok = self._hash(ids, picks)
-            at = np.flatnonzero(ok)
-            if not len(codes) or not len(at):
-                continue
-            wanted = code[at]
-            low = np.searchsorted(codes, wanted)
-            near = codes[np.minimum(low, len(codes) - 1)] == wanted
-            at, wanted, low = at[near], wanted[near], low[near]
-            n = np.searchsorted(codes, wanted, side="right") - low
-            k = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([np.repeat(at, n), owner[k], place[k]]))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
-
-    def runs(self, ids: np.ndarray, text: np.ndarray, at: np.ndarray, place: np.ndarray, end: int) -> list[tuple[int, int, int]]:
-        """Longest runs of equal words through the hits; `ids` from 0 to `end` is the document."""
-        out, upto = [], {}
-        for i, j in sorted(zip(at.tolist(), place.tolist())):
-            if upto.get(i - j, -1) > i:
-                continue
-            a = i
-            while a > 0 and j - (i - a) > 0 and ids[a - 1] == text[j - (i - a) - 1]:
-                a -= 1
-            b = i
-            while b < end and j + b - i < len(text) and ids[b] == text[j + b - i]:
-                b += 1
-            upto[i - j] = max(b, i + 1)
-            if b - a >= RUN:
-                out.append((a, j - (i - a), b - a))
-        return out
-
-    def leaks(self, docs: list[tuple[object, np.ndarray]]) -> Iterator[tuple]:
-        gap = np.zeros(RUN, np.int64)
-        starts = np.cumsum([0, *(len(x) + RUN for _, x in docs)])
-        flat = np.concatenate([gap[:0], *(y for _, x in docs for y in (x, gap))])
-        at, owner, place = self.hits(flat)
-        doc = np.searchsorted(starts, at, side="right") - 1
-        pair = doc * len(self.texts) + owner
-        order = np.lexsort((at, pair))
-        at, place, pair = at[order], place[order], pair[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (pair[1:] != pair[:-1])  # a position counts once for a passage
-        pairs, first = np.unique(pair, return_index=True)
-        last = np.append(first[1:], len(pair))
-        upto = np.concatenate([[0], np.cumsum(new)])
-        enough = (upto[last] - upto[first] if len(first) else first) >= self.least[pairs % len(self.texts)]
-        for p, a, b in zip(pairs[enough].tolist(), first[enough].tolist(), last[enough].tolist()):
-            d, e = divmod(p, len(self.texts))
-            doc_id, ids = docs[d]
-            text = self.texts[e]
-            blocks = self.runs(ids, text, at[a:b] - starts[d], place[a:b], len(ids))
-            n, low, high = best_chain(blocks, int(len(text) * STRETCH))
-            if n and n >= len(text) * SHARE:
-                yield doc_id, self.ids[e], n, len(text), low, high
-
-
-def _scanner(passages: list[tuple[int, str]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds = Passages(passages)
-        known = seeds.vocabulary.get
-        names = [x.split()[0] for x in FOUND_SCHEMA.split(", ")]
+def compare(ids: np.ndarray, text: np.ndarray, hits: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+    """(words in runs, words in runs of altered overlaps, first, end) of a pair that leaks; None if it doesn't.
+
+    The second number is only looked for where the first is too small, and 0 otherwise.
+    """
+    longest, wanted = int(len(text) * STRETCH), -(-len(text) // 2)
+    by_shift: dict[int, list[int]] = {}
+    for i, j in hits:
+        by_shift.setdefault(i - j, []).append(i)
+    n, low, high = best_chain([r for s in by_shift for r in runs_on(ids, text, s, RUN)], longest)
+    if n >= wanted:
+        return n, 0, low, high
+    m, low, high = best_chain([r for s, at in by_shift.items() for r in runs_on(ids, text, s, ALTERED_RUN, np.array(at))], longest, ALTERED_RUN)
+    return (n, m, low, high) if m >= wanted else None
+
+
+def _hashed(key: str, name: str, test: Callable[[np.ndarray], np.ndarray] | None, least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows (key, digest of the words, words, seeds, places) of texts with at least `least` places at which a seed passes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        passes = test
         for batch in batches:
-            out: list[tuple] = []
-            docs: list[tuple[object, np.ndarray]] = []
-            held = 0
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
-                if not text:
-                    continue
-                ids = np.frombuffer(array("q", [known(w.lower(), 0) for w in _WORD.findall(text)]), np.int64)
-                if len(ids) >= RUN:
-                    docs.append((doc_id, ids))
-                    held += len(ids)
-                if held > 200_000:
-                    out += seeds.leaks(docs)
-                    docs, held = [], 0
-            if docs:
-                out += seeds.leaks(docs)
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "eval_id": "Int64"})
-
-    return scan
-
-
-def _blocks(items: DataFrame, block_words: int) -> list[list[tuple[int, str]]]:
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    rows = items.select("eval_id", "passage").where("passage IS NOT NULL").distinct().orderBy("eval_id", "passage")
-    for r in rows.toLocalIterator():
-        n = len(_WORD.findall(r.passage))
-        if blocks[-1] and size + n > block_words:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.eval_id, r.passage))
-        size += n
-    return blocks
-
-
-def leaked_passages(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                out = []
+                for k, ids in zip(part[key].array, word_hashes(part["text"].tolist())):
+                    code, place = seeds(ids)
+                    if passes is not None and len(code):
+                        ok = passes(code)
+                        code, place = code[ok], place[ok]
+                    if len(code) and (least < 2 or len(np.unique(place)) >= least):
+                        out.append((k, hashlib.blake2b(ids.tobytes(), digest_size=16).digest(), ids.view(np.int64), code.view(np.int64), place.astype(np.int32)))
+                yield pd.DataFrame(out, columns=[key, name, "words", "seeds", "places"]).astype({key: "Int64"})
+
+    return run
+
+
+def _filtered(shared, least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _hashed("doc_id", "text_id", shared.value.passes, least)(batches)
+
+    return run
+
+
+def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in _VERIFIED.split(", ")]
+    for batch in batches:
+        out = []
+        for text_id, passage_id, ids, text, hits in batch[["text_id", "passage_id", "words", "passage", "hits"]].itertuples(index=False):
+            if found := compare(np.asarray(ids), np.asarray(text), [(h["i"], h["j"]) for h in hits]):
+                n, m, low, high = found
+                out.append((text_id, passage_id, n, m, len(text), low, high))
+        yield pd.DataFrame(out, columns=names)
+
+
+def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Documents with the evaluation items whose passage they hold, in whole or in part.
 
-    At least half of a passage's words must stand in a document in passage order, in runs of five
-    or more equal words, within one and a half times the passage's length. Where and how many are
-    reported, counted in words. Null and empty texts or passages match nothing, nor do passages
-    under five words; repeated items count once; each document row is reported on its own; other
-    columns are ignored.
+    (doc_id, eval_id, words_found, words_similar, passage_words, first_word, last_word). At least half
+    of a passage's words stand in the document in passage order within one and a half times the
+    passage's length: `words_found` of them in runs of five or more; or, where these are fewer than
+    half, `words_similar` in runs of two or more that lie in overlaps around seeds, no more than two
+    words in a row differing there, at one hit for every eight words wanted. Places are counted in
+    words. Null and empty texts or passages match nothing, nor do passages under five words; repeated
+    items count once; each document row is reported on its own, null ids too; other columns are
+    ignored.
+
+    Passages and documents of equal words are one class each, so copies cost no comparison. Only
+    documents in which enough seeds pass the filter are shuffled, and only seeds that do; a seed that
+    many share is spread over a grid.
     """
-    found = None
-    for block in _blocks(items, block_words):
-        part = documents.select("doc_id", "text").mapInPandas(_scanner(block), FOUND_SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    return found
+    texts = items.where("passage IS NOT NULL").select(F.col("eval_id").cast("bigint").alias("eval_id"), F.col("passage").alias("text")).distinct()
+    passages = materialise(texts.mapInPandas(_hashed("eval_id", "passage_id", None, 1), _PASSAGES))
+    classes = passages.groupBy("passage_id").agg(F.first("words").alias("passage"), F.first("seeds").alias("seeds"), F.first("places").alias("places"))
+    wanted = classes.select("passage_id", F.explode(F.arrays_zip(F.col("seeds").alias("seed"), F.col("places").alias("j"))).alias("s")).select("passage_id", "s.seed", "s.j")
+    # Both cells of a seed; as many rows as the filter has cells at most.
+    both = F.array(F.col("seed").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int"), F.shiftrightunsigned("seed", 64 - FILTER_BITS).cast("int"))
+    cells = wanted.select(F.explode(both).alias("cell")).distinct().toPandas()["cell"].to_numpy(np.int64)
+    shared = documents.sparkSession.sparkContext.broadcast(Filter(cells))
+    shortest = passages.agg(F.min(F.size("words"))).first()[0]
+    rows = documents.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    seeded = materialise(rows.mapInPandas(_filtered(shared, wanted_hits(shortest or 0)), _SEEDED))
+    unique = seeded.select("text_id", "words", "seeds", "places").dropDuplicates(["text_id"])
+    asked = unique.select("text_id", F.explode(F.arrays_zip(F.col("seeds").alias("seed"), F.col("places").alias("i"))).alias("s")).select("text_id", "s.seed", "s.i")
+    met = grid_join(asked, wanted, "seed", "text_id", "passage_id")
+    hits = met.groupBy("text_id", "passage_id").agg(F.collect_set(F.struct("i", "j")).alias("hits"), F.collect_set("i").alias("at"))
+    whole = classes.select("passage_id", "passage")
+    longest_mask = max(RUN, *(len(m) for m in MASKS))
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.size("passage") / 2) / longest_mask))
+    pairs = hits.join(whole, "passage_id").where(F.size("at") >= least).drop("at").join(unique.select("text_id", "words"), "text_id")
+    found = pairs.mapInPandas(_verify, _VERIFIED)
+    return found.join(passages.select("eval_id", "passage_id").distinct(), "passage_id").join(seeded.select("doc_id", "text_id"), "text_id").select("doc_id", "eval_id", "words_found", "words_similar", "passage_words", "first_word", "last_word")
+
+
+def in_runs(found: DataFrame) -> DataFrame:
+    """Of `leaked_passages`, the links whose words stand in runs."""
+    return found.where(F.col("words_found") >= F.ceil(F.col("passage_words") / 2))
 
 
 def leaked_documents(found: DataFrame) -> DataFrame:
     """Per document: the items that leaked into it and the largest share of one."""
-    share = F.col("words_found") / F.col("passage_words")
+    share = F.greatest("words_found", "words_similar") / F.col("passage_words")
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("eval_id")).alias("eval_ids"), F.max(share).alias("largest_share"))
+
+
+def seed_gain(found: DataFrame) -> DataFrame:
+    """Links by runs, and links that runs of equal words alone would have lost."""
+    runs = F.col("words_found") >= F.ceil(F.col("passage_words") / 2)
+    return found.agg(F.count_if(runs).alias("links_in_runs"), F.count_if(~runs).alias("links_altered"), F.count_if(F.col("words_found") == 0).alias("links_without_runs"))

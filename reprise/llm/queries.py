@@ -62,13 +62,18 @@ def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_matches(spark, sf_dir).select("doc_id", "eval_id").distinct()
+    return leaks.in_runs(p8_matches(spark, sf_dir)).select("doc_id", "eval_id").distinct()
 
 
 def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_documents(p8_matches(spark, sf_dir))
 
 
+def p8_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links in runs of five words, and those that only seeds with gaps find."""
+    return leaks.seed_gain(p8_matches(spark, sf_dir))
+
+
 def _item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recipient prompt and donor texts of each distinct item."""
     items = table(spark, sf_dir, "workload_items").select("item_id", "recipient_prompt", "donor_prompts")
@@ -155,6 +160,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_matches": p8_matches,
     "p8_documents": p8_documents,
+    "p8_gain": p8_gain,
     "p9_found": p9_found,
     "p9_languages": p9_languages,
     "p6_found": p6_found,
