@@ -1,8 +1,8 @@
 """Loading delimited and JSON event lines: valid lines as typed rows, the rest with a reason.
 
-Records are assembled quote-aware, each is parsed by Python's strict csv reader (or a strict JSON
-decoder) inside a partition-wise map, and structural exceptions are captured before any typed
-field is built. There is no shuffle: the operator is one narrow pass over the scan.
+Records are assembled quote-aware where files are read (`sources.readers.read_audit`), each is parsed
+by Python's strict csv reader (or a strict JSON decoder) inside a partition-wise map, and structural
+exceptions are captured before any typed field is built. Parsing is one narrow pass, without a shuffle.
 """
 
 from __future__ import annotations
@@ -68,30 +68,50 @@ def assemble_csv_records(lines: Iterable[str]) -> Iterator[str]:
         yield "\n".join(held)
 
 
-def split_csv(record: str) -> list[str]:
-    """Fields of one record, without white space around them.
+csv.field_size_limit(sys.maxsize)
+
+
+def _strict(record: str) -> list[str]:
+    rows = list(csv.reader([record], strict=True, skipinitialspace=True))
+    return rows[0] if rows else [""]
 
-    Raises `Malformed` for a quote left open, a quote inside an unquoted field, or text after a
-    closing quote. White space around fields is removed first, quote-aware, as the strict reader
-    would take it for part of an unquoted field.
+
+def _bare(record: str) -> str:
+    """The record without white space around its fields, read quote-aware; fields that hold line breaks are quoted.
+
+    Raises `Malformed` where it is no sequence of plain fields without quotes and of quoted ones.
     """
-    bare, at = [], 0
-    while True:
+    out, at, end = [], 0, ","
+    while end:
         m = _FIELD.match(record, at)
         if not m:
             raise Malformed("quotes")
         quoted, plain, end = m.groups()
-        # The strict reader takes line breaks only within quotes.
-        bare.append(f'"{quoted}"' if quoted is not None else f'"{plain.strip()}"' if "\n" in plain or "\r" in plain else plain.strip())
+        value = quoted if quoted is not None else plain.strip()
+        out.append(f'"{value}"' if quoted is not None or "\n" in value or "\r" in value else value)
         at = m.end()
-        if end == "":
-            break
-    csv.field_size_limit(sys.maxsize)
+    return ",".join(out)
+
+
+def split_csv(record: str) -> list[str]:
+    """Fields of one record, without white space around them.
+
+    The strict reader's error is the reason that a record is malformed: a quote left open, or text
+    after a closing quote. It takes white space around a quoted field for such text, so a record that
+    it rejects is read again without. A quote within an unquoted field is no error to it, so records
+    in whose values it leaves a quote are held against the rule for fields.
+    """
     try:
-        rows = list(csv.reader([",".join(bare)], strict=True))
+        try:
+            fields = _strict(record)
+        except csv.Error:
+            fields = _strict(_bare(record))
+        else:
+            if any('"' in v for v in fields):
+                fields = _strict(_bare(record))
     except csv.Error as e:
         raise Malformed(str(e)) from e
-    return [v.strip() for v in (rows[0] if rows else [""])]
+    return [v.strip() for v in fields]
 
 
 def _no_constant(name: str):

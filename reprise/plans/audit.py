@@ -141,6 +141,10 @@ _NORMAL = "n1 AS (SELECT engine_request_id, engine_response_id AS id, list_disti
 QUERIES = {f.__name__: f for f in (src03_line_classes, prj09_miss_reasons, ag28_folded, ag29_reused_ids, st01_event_order, jn05_resolved, ag30_join_report, jn07_id_echo)}
 ORACLES = {
     "p2_found": f"WITH {LINES_SQL} SELECT line_id, reason FROM reasons WHERE reason IS NOT NULL",
+    "p2_valid_fields": f"""WITH {LINES_SQL}, good AS (SELECT line_id FROM reasons WHERE reason IS NULL),
+      fields AS (SELECT line_id, source_file, 'csv' AS line_format, event, source, connector_id, mode, time_unix_s, nullif(request_id, '') AS request_id, request_seq, event_seq FROM csv WHERE line_id IN (FROM good)
+        UNION ALL SELECT line_id, source_file, 'jsonl', event, j ->> '$.source', j ->> '$.connector_id', j ->> '$.mode', j ->> '$.time_unix_s', request_id, j ->> '$.request_seq', j ->> '$.event_seq' FROM js WHERE line_id IN (FROM good))
+      SELECT line_id, source_file, line_format, 2 AS schema_version, event, source, connector_id, mode, try_cast(time_unix_s AS DOUBLE) AS time_unix_s, request_id, {_INT.format(x='request_seq')} AS request_seq, {_INT.format(x='event_seq')} AS event_seq FROM fields""",
     "p2_reason_counts": f"WITH {LINES_SQL} SELECT source_file, line_format, reason, count(*) AS n_lines FROM reasons JOIN lines USING (line_id) WHERE reason IS NOT NULL GROUP BY ALL",
     "src03_line_classes": f"WITH {EVENTS_SQL} SELECT reason AS line_class, count(*) AS n FROM reasons WHERE reason IS NOT NULL GROUP BY 1 UNION ALL SELECT CASE WHEN request_id IS NULL THEN 'engine_scope' ELSE 'event' END, count(*) FROM events GROUP BY 1",
     "prj09_miss_reasons": f"WITH {EVENTS_SQL}, e AS (SELECT *, CASE WHEN json_type(p, '$.snapped_spans') = 'ARRAY' THEN json_array_length(p, '$.snapped_spans') END AS spans FROM events WHERE {_MISS}) SELECT {_REASON} AS miss_reason, count(*) AS n FROM e GROUP BY 1",

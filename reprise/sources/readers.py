@@ -10,11 +10,11 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reprise.functions import text as T
-from reprise.operators.ordinals import with_ordinal
+from reprise.operators.ordinals import running_sum, with_ordinal
 
 DONOR = "struct<donor_id:string,text:string,label:string,metadata:map<string,string>>"
 WORKLOAD_ITEM = f"item_id string, dataset string, source_id string, transform string, donor_prompts array<{DONOR}>, recipient_prompt string, input string, answers array<string>, negative_control boolean, metadata string, benchmark_version string"
@@ -78,19 +78,22 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """Raw event records of JSONL or csv audits, ready for the quarantining parser, numbered by their first lines.
 
     A line of JSONL is a record. A csv record ends at a line end outside quotes, as in
-    `assemble_csv_records`; one that its file leaves unfinished is kept as it is.
+    `assemble_csv_records`; one that its file leaves unfinished is kept as it is. Quotes are summed
+    up over ranges of lines, so a large file is not one task's work.
     """
     is_csv = F.col("name").endswith(".csv")
     lines = _file_lines(spark, path)
     plain = lines.where(~is_csv).select(F.col("ordinal").alias("line_id"), F.col("value").alias("raw_line"), F.col("name").alias("source_file"), F.lit("jsonl").alias("line_format"))
-    of_file = Window.partitionBy("file").orderBy("ordinal")
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    before = F.coalesce(F.sum(quotes).over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    begun = lines.where(is_csv).withColumn("first", F.when(before % 2 == 0, F.col("ordinal")))
-    held = begun.withColumn("line_id", F.max("first").over(of_file.rowsBetween(Window.unboundedPreceding, 0)))
+    csv = lines.where(is_csv)
+    quotes = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("bigint")
+    summed = running_sum(csv.select("ordinal", "file", quotes.alias("q")), "ordinal", "q", "upto").select("ordinal", "file", (F.col("upto") - F.col("q")).alias("before"))
+    base = summed.groupBy("file").agg(F.min("before").alias("base"))
+    begun = summed.join(base, "file").select("ordinal", ((F.col("before") - F.col("base")) % 2 == 0).cast("int").alias("begins"))
+    numbered = running_sum(begun, "ordinal", "begins", "record").select("ordinal", "record")
     pieces = F.array_sort(F.collect_list(F.struct("ordinal", "value")))
-    records = held.groupBy("line_id", "name").agg(F.array_join(F.transform(pieces, lambda x: x["value"]), "\n").alias("raw_line"))
-    return plain.unionByName(records.select("line_id", "raw_line", F.col("name").alias("source_file"), F.lit("csv").alias("line_format")))
+    whole = F.array_join(F.transform(pieces, lambda x: x["value"]), "\n")
+    records = csv.join(numbered, "ordinal").groupBy("record").agg(F.min("ordinal").alias("line_id"), whole.alias("raw_line"), F.first("name").alias("source_file"))
+    return plain.unionByName(records.select("line_id", "raw_line", "source_file", F.lit("csv").alias("line_format")))
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:

@@ -19,6 +19,10 @@ def jsonl(**other):
         ("  " + GOOD.replace(",kv,", ' , "kv" ,') + "\t", None),
         (GOOD.replace("tokens", "tok\nens"), None),
         (GOOD.replace("2,", '" 2 ",', 1), None),
+        (GOOD.replace(',"a, b",', ',\t"a, b"\t,'), None),
+        (GOOD.replace(",1.5,", ",\n1.5 ,"), None),
+        (GOOD.replace(',"a, b",', ',\t"a, b"\t"c",'), "unparsable"),
+        (GOOD.replace(',"a, b",', ',a "b",'), "unparsable"),
         (GOOD[:-1], "unparsable"),
         (GOOD.replace("wrk-1", 'wr"k-1'), "unparsable"),
         (GOOD.replace('b"', 'b"x'), "unparsable"),
