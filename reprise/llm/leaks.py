@@ -46,29 +46,30 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def word_hashes(texts: list[str]) -> list[np.ndarray]:
-    """64-bit hashes of the words of each text; a word is hashed once."""
-    split = [words(t) for t in texts]
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words of the texts, number of words of each text); a word is hashed once."""
+    split = [_WORD.findall(t) for t in texts]
     codes, kinds = pd.factorize(np.array([w for x in split for w in x], object))
-    hashed = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in kinds], np.uint64)
-    flat = hashed[codes] if len(kinds) else np.zeros(0, np.uint64)
-    return np.split(flat, np.cumsum([len(x) for x in split])[:-1]) if split else []
+    hashed = np.array([xxhash.xxh3_64_intdigest(w.lower().encode("utf-8", "surrogatepass")) for w in kinds], np.uint64)
+    return hashed[codes] if len(kinds) else np.zeros(0, np.uint64), np.array([len(x) for x in split], np.int64)
 
 
-def seeds(ids: np.ndarray, masks: tuple[str, ...] = MASKS) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of every seed of a sequence of word hashes; the mask is part of the hash."""
-    codes, places = [], []
+def seeds(ids: np.ndarray, sizes: np.ndarray, masks: tuple[str, ...] = MASKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place) of every seed of texts whose word hashes stand in `ids` one after the other; the mask is part of the hash."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    codes, owners, places = [np.zeros(0, np.uint64)], [text[:0]], [place[:0]]
     for number, mask in enumerate(masks):
-        n = len(ids) - len(mask) + 1
-        if n <= 0:
-            continue
+        n = max(0, len(ids) - len(mask) + 1)
         code = np.full(n, number + 1, np.uint64)
         for k in np.flatnonzero(np.array(list(mask)) == "1"):
             code = (code ^ ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             code ^= code >> np.uint64(29)
-        codes.append(code)
-        places.append(np.arange(n))
-    return (np.concatenate(codes), np.concatenate(places)) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        whole = text[:n] == text[len(ids) - n :]  # the mask ends in the text that it begins in
+        codes.append(code[whole])
+        owners.append(text[:n][whole])
+        places.append(place[:n][whole])
+    return np.concatenate(codes), np.concatenate(owners), np.concatenate(places)
 
 
 def _cells(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,18 +187,25 @@ def _hashed(key: str, name: str, test: Callable[[np.ndarray], np.ndarray] | None
     """Rows (key, digest of the words, words, seeds, places) of texts with at least `least` places at which a seed passes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        passes = test
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
+                ids, sizes = word_hashes(part["text"].tolist())
+                code, text, place = seeds(ids, sizes)
+                if test is not None:
+                    ok = test(code)
+                    code, text, place = code[ok], text[ok], place[ok]
+                order = np.lexsort((place, text))
+                code, text, place = code[order].view(np.int64), text[order], place[order].astype(np.int32)
+                new = np.ones(len(text), bool)
+                new[1:] = (text[1:] != text[:-1]) | (place[1:] != place[:-1])
+                n_places = np.bincount(text[new], minlength=len(sizes))
+                upto, edge = np.cumsum(sizes), np.searchsorted(text, np.arange(len(sizes) + 1))
                 out = []
-                for k, ids in zip(part[key].array, word_hashes(part["text"].tolist())):
-                    code, place = seeds(ids)
-                    if passes is not None and len(code):
-                        ok = passes(code)
-                        code, place = code[ok], place[ok]
-                    if len(code) and (least < 2 or len(np.unique(place)) >= least):
-                        out.append((k, hashlib.blake2b(ids.tobytes(), digest_size=16).digest(), ids.view(np.int64), code.view(np.int64), place.astype(np.int32)))
+                for n in np.flatnonzero(n_places >= max(1, least)).tolist():
+                    own = ids[upto[n] - sizes[n] : upto[n]]
+                    low, high = edge[n], edge[n + 1]
+                    out.append((part[key].array[n], hashlib.blake2b(own.tobytes(), digest_size=16).digest(), own.view(np.int64), code[low:high], place[low:high]))
                 yield pd.DataFrame(out, columns=[key, name, "words", "seeds", "places"]).astype({key: "Int64"})
 
     return run

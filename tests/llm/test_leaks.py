@@ -93,7 +93,12 @@ def test_chains_agree_with_brute_force():
 
 def test_seeds_and_altered_text(spark):
     assert min(map(len, MASKS)) <= RUN and max(map(len, MASKS)) > RUN
-    assert len(seeds(word_hashes(["a b c d"])[0])[0]) == 0 and word_hashes([]) == [] and len(word_hashes(["", "a"])[0]) == 0
+    assert len(seeds(*word_hashes(["a b c d", "", "e f g"]))[0]) == 0 and len(seeds(*word_hashes([]))[0]) == 0
+    # Seeds don't reach from one text into the next, and their hashes depend on the picked words only.
+    code, text, place = seeds(*word_hashes(["x", "a b c d e f", "A B - d e f"]), masks=("11011",))
+    assert list(zip(text, place)) == [(1, 0), (1, 1), (2, 0)] and len(set(code)) == 3
+    (one,), (other,) = (seeds(*word_hashes([t]), masks=("11011",))[0] for t in ("a b c d e", "A B, z d e"))
+    assert one == other
     # Every third word is another one: no run of five, but two of three words stand.
     passage = [f"p{i}" for i in range(60)]
     altered = [w if i % 3 else "x" + w for i, w in enumerate(passage)]
