@@ -21,6 +21,11 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_records(table(spark, sf_dir, "source_records"), table(spark, sf_dir, "transform_configs"))
 
 
+def p3_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's text put together again out of its pieces, and whether they keep limit and overlap."""
+    return split.rebuilt(p3_pieces(spark, sf_dir), table(spark, sf_dir, "source_records"), table(spark, sf_dir, "transform_configs"))
+
+
 def p4_daily_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of ttft_ms per dataset, transform and day."""
     return quantiles.digests(quantiles.request_times(table(spark, sf_dir, "request_metrics")), ["dataset", "transform", "day"], "ttft_ms")
@@ -150,6 +155,7 @@ QUERIES = {
     "p5_groups": p5_groups,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_rebuilt": p3_rebuilt,
     "p4_daily": p4_daily,
     "p4_daily_digest": p4_daily_digest,
     "p4_period": p4_period,

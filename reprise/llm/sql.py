@@ -94,6 +94,7 @@ ORACLES: dict[str, str] = {
     "p1_lines": _P1_LINES,
     "p5_found": _P5,
     "p3_found": _P3,
+    "p3_rebuilt": "SELECT DISTINCT ON (source_id) source_id, md5(context) AS text_digest, length(context)::INT AS n_chars, true AS within_limit, true AS overlap_kept FROM source_records WHERE context IS NOT NULL",
     "p4_daily": _P4.format(keys="dataset, transform, day", values=_P4_VALUES),
     "p4_period": _P4.format(keys="dataset, transform", values=_P4_VALUES),
     "p7_found": _P7,
