@@ -1,11 +1,12 @@
 """Percentiles of large numeric columns from mergeable digests with a deterministic rank error.
 
-Values are quantized to an ordered universe of 2**16 leaves: 32 powers of two, each in 2,048 equal
-steps, so a leaf is at most 1/2048 of its value wide. A digest keeps counts on nodes of the dyadic
-tree over the leaves. Two children and their parent are folded into the parent while their count
-together stays within n / k. Digests merge by adding the counts of equal nodes, followed by another
-compression; no inner node ever holds more than n / k, so a rank is off by at most 16 n / k, however
-the values were parted.
+Values are quantized to an ordered universe of 2**23 leaves: every power of two that a double can
+have, of either sign, in 2,048 equal steps. A leaf is at most 1/2048 of its value wide (2**-1033 below
+2**-1022), zero and the infinities have leaves of their own, and nothing is clamped. A digest keeps
+counts on nodes of the dyadic tree over the leaves. Two children and their parent are folded into the
+parent while their count together stays within n / k. Digests merge by adding the counts of equal
+nodes, followed by another compression; no inner node ever holds more than n / k, so a rank is off by
+at most 23 n / k, however the values were parted.
 """
 
 from __future__ import annotations
@@ -17,26 +18,33 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEPTH = 16
+DEPTH = 23
 STEPS = 2048
-LOWEST_EXPONENT = -8
+#: Exponents of the least normal double and of the leaf that holds zero and what is below half a step.
+_LEAST_EXPONENT, _ZERO = -1022, 1 << (DEPTH - 1)
 #: Share of n by which a rank may be off.
 RANK_ERROR = 0.001
 PERCENTILES = (50, 90, 95, 99)
 
 
 def leaf_of(x: Column) -> Column:
-    """Leaf of a value. Zero, negative and tiny values share the lowest leaf, values from 2**24 on the topmost."""
-    guess = F.floor(F.log2(x))
-    power = guess + F.when(x >= F.pow(F.lit(2.0), guess + 1), 1).when(x < F.pow(F.lit(2.0), guess), -1).otherwise(0)
-    step = F.floor((x / F.pow(F.lit(2.0), power) - 1) * STEPS)
-    leaf = (power - LOWEST_EXPONENT) * STEPS + step
-    return F.when(x < 2.0**LOWEST_EXPONENT, 0).when(x >= 2.0 ** (LOWEST_EXPONENT + 32), 2**DEPTH - 1).otherwise(leaf).cast("int")
+    """Leaf of a value that is not NaN: the sign, the exponent and eleven bits of the fraction, in the order of values."""
+    size = F.abs(x)
+    two = F.lit(2.0)
+    guess = F.floor(F.log2(size))
+    power = guess + F.when(size >= F.pow(two, guess + 1), 1).when(size < F.pow(two, guess), -1).otherwise(0)
+    normal = (power - _LEAST_EXPONENT + 1) * STEPS + F.floor((size / F.pow(two, power) - 1) * STEPS)
+    small = F.floor(size * 2.0**-_LEAST_EXPONENT * STEPS)
+    place = F.when(size < 2.0**_LEAST_EXPONENT, small).when(size == float("inf"), 2047 * STEPS).otherwise(normal)
+    return F.when(x < 0, _ZERO - 1 - place).otherwise(_ZERO + place).cast("int")
 
 
 def value_of(leaf: Column) -> Column:
-    """Middle of a leaf's range."""
-    return F.pow(F.lit(2.0), F.floor(leaf / STEPS) + LOWEST_EXPONENT) * (1 + (leaf % STEPS + 0.5) / STEPS)
+    """Middle of a leaf's range; 0 for the leaf of zero."""
+    place = F.when(leaf < _ZERO, _ZERO - 1 - leaf).otherwise(leaf - _ZERO)
+    field, step = F.floor(place / STEPS), (place % STEPS + 0.5) / STEPS
+    size = F.when(field == 0, 2.0**_LEAST_EXPONENT * step).when(field == 2047, float("inf")).otherwise(F.pow(F.lit(2.0), field + _LEAST_EXPONENT - 1) * (1 + step))
+    return F.when(leaf == _ZERO, 0.0).when(leaf < _ZERO, -size).otherwise(size)
 
 
 def compress(group: np.ndarray, level: np.ndarray, node: np.ndarray, count: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -111,7 +119,8 @@ def digests(values: DataFrame, keys: list[str], value: str, rank_error: float =
     """Digest rows (keys, level, node, n_values) of each group.
 
     Null and NaN are no values; null keys form groups of their own. Leaves are counted before any
-    row is shuffled, so a group is never more than 2**16 rows whatever its size.
+    row is shuffled: a group is at most as many rows as its values have leaves, 2,048 for each power
+    of two that they reach over, whatever its size.
     """
     x = F.col(value)
     leaves = values.where(x.isNotNull() & ~F.isnan(x)).select(*keys, F.lit(0).alias("level"), leaf_of(x.cast("double")).alias("node"))
@@ -141,6 +150,22 @@ def percentiles(parts: DataFrame, keys: list[str], wanted: tuple[int, ...] = PER
     return found.select(*keys, "n_values", *(value_of(F.col(f"p{p}")).alias(f"p{p}") for p in wanted), "rank_error")
 
 
+def rank_check(values: DataFrame, digest: DataFrame, key: str, value: str, rank_error: float = RANK_ERROR, wanted: tuple[int, ...] = PERCENTILES) -> DataFrame:
+    """(key, n_values, n_nodes, n_leaves, a column p.._within): whether each percentile's rank is within the bound.
+
+    True ranks are counted over all values; `digest` has one group for each value of `key`.
+    """
+    found = percentiles(digest, [key], wanted).select(key, *(leaf_of(F.col(f"p{p}")).alias(f"l{p}") for p in wanted))
+    nodes = digest.groupBy(key).agg(F.count("*").alias("n_nodes"))
+    leaves = values.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(key, leaf_of(F.col(value)).alias("leaf")).agg(F.count("*").alias("c"))
+    n = F.sum("c")
+    below = lambda p: F.coalesce(F.sum(F.when(F.col("leaf") < F.col(f"l{p}"), F.col("c"))), F.lit(0))
+    upto = lambda p: F.coalesce(F.sum(F.when(F.col("leaf") <= F.col(f"l{p}"), F.col("c"))), F.lit(0))
+    rank = lambda p: F.ceil(n * p / 100)
+    within = [((below(p) + 1 - n * rank_error <= rank(p)) & (rank(p) <= upto(p) + n * rank_error)).alias(f"p{p}_within") for p in wanted]
+    return leaves.join(found, key).groupBy(key).agg(n.alias("n_values"), F.count("*").alias("n_leaves"), *within).join(nodes, key).select(key, "n_values", "n_nodes", "n_leaves", *(f"p{p}_within" for p in wanted))
+
+
 def request_times(metrics: DataFrame) -> DataFrame:
     """(dataset, transform, day, ttft_ms) of each distinct request that has a measurement."""
     measured = metrics.where(F.col("ttft_ms").isNotNull() & ~F.isnan("ttft_ms"))

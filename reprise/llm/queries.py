@@ -12,6 +12,10 @@ from reprise.llm.sql import ORACLES  # noqa: F401
 from reprise.session import table
 
 
+#: Rank error of digests that are compressed at any size of the tables.
+COARSE = 0.05
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records over their limit, with the level at which they can be cut."""
     return split.oversized(p3_pieces(spark, sf_dir))
@@ -42,6 +46,14 @@ def p4_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merge(p4_daily_digest(spark, sf_dir), keys), keys)
 
 
+def p4_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether digests of so coarse a rank error that they are compressed keep it, per dataset and over all; out of days' digests."""
+    times = quantiles.request_times(table(spark, sf_dir, "request_metrics")).select(F.explode(F.array(F.lit("all"), F.concat(F.lit("dataset "), "dataset"))).alias("scope"), "day", "ttft_ms")
+    digest = quantiles.merge(quantiles.digests(times, ["scope", "day"], "ttft_ms", COARSE), ["scope"], COARSE)
+    checked = quantiles.rank_check(times, digest, "scope", "ttft_ms", COARSE)
+    return checked.withColumn("compressed", F.when(F.col("scope") == "all", F.col("n_nodes") < F.col("n_leaves"))).drop("n_nodes", "n_leaves")
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's, or piece's, container for each budget."""
     return pack.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_budgets"))
@@ -159,6 +171,7 @@ QUERIES = {
     "p4_daily": p4_daily,
     "p4_daily_digest": p4_daily_digest,
     "p4_period": p4_period,
+    "p4_compressed": p4_compressed,
     "p7_found": p7_found,
     "p7_packed": p7_packed,
     "p7_totals": p7_totals,

@@ -39,20 +39,31 @@ SELECT budget_id, count(DISTINCT doc_id) AS n_documents, sum(greatest(1, ceil(n
 FROM sizes CROSS JOIN pack_budgets GROUP BY 1
 """
 
-# Holds as long as no group is large enough for its digest to be compressed.
-_P4 = """
+# Exact percentiles, then rounded to the middle of a 2,048th of their power of two. The error of ranks is 0
+# as long as no group is large enough for its digest to be compressed.
+_P4_ONCE = """
 WITH once AS (
   SELECT engine_request_id, min(dataset) AS dataset, min(transform) AS transform, min(started_at)::DATE AS day, min(ttft_ms) AS x
-  FROM request_metrics WHERE ttft_ms IS NOT NULL AND NOT isnan(ttft_ms) GROUP BY 1),
-powers AS (SELECT *, floor(log2(x)) AS e0 FROM once),
-exact AS (SELECT *, e0 + CASE WHEN x >= pow(2, e0 + 1) THEN 1 WHEN x < pow(2, e0) THEN -1 ELSE 0 END AS e FROM powers),
-leaves AS (
-  SELECT dataset, transform, day, CASE WHEN x < pow(2, -8) THEN 0 WHEN x >= pow(2, 24) THEN 65535 ELSE (e + 8) * 2048 + floor((x / pow(2, e) - 1) * 2048) END AS leaf FROM exact),
-sorted AS (SELECT {keys}, list_sort(list(leaf)) AS l, count(*) AS n FROM leaves GROUP BY {keys})
-SELECT {keys}, n AS n_values, {values}, 0::BIGINT AS rank_error FROM sorted
+  FROM request_metrics WHERE ttft_ms IS NOT NULL AND NOT isnan(ttft_ms) GROUP BY 1)
 """
-_AT = "pow(2, floor(l[ceil(n * {p} / 100)::BIGINT] / 2048) - 8) * (1 + (l[ceil(n * {p} / 100)::BIGINT] % 2048 + 0.5) / 2048) AS p{p}"
-_P4_VALUES = ", ".join(_AT.format(p=p) for p in (50, 90, 95, 99))
+_P4 = (
+    _P4_ONCE
+    + """,
+exact AS (SELECT {keys}, count(*) AS n, {exact} FROM once GROUP BY {keys})
+SELECT {keys}, n AS n_values, {values}, 0::BIGINT AS rank_error FROM exact
+"""
+)
+_PERCENTILES = (50, 90, 95, 99)
+_P4_EXACT = ", ".join(f"quantile_disc(x, {p / 100}) AS v{p}" for p in _PERCENTILES)
+_E = "floor(log2(abs(v{p})))"
+_P4_VALUES = ", ".join(f"CASE WHEN v{p} = 0 THEN 0 ELSE sign(v{p}) * pow(2, {_E}) * (1 + (floor((abs(v{p}) / pow(2, {_E}) - 1) * 2048) + 0.5) / 2048) END AS p{p}".format(p=p) for p in _PERCENTILES)
+_P4_COMPRESSED = (
+    _P4_ONCE
+    + f"""
+SELECT scope, count(*) AS n_values, {", ".join(f"true AS p{p}_within" for p in _PERCENTILES)}, CASE WHEN scope = 'all' THEN true END AS compressed
+FROM (SELECT 'all' AS scope FROM once UNION ALL SELECT 'dataset ' || dataset FROM once) GROUP BY 1
+"""
+)
 
 _ITEM_TEXTS = """
 items AS (SELECT DISTINCT ON (item_id) item_id, recipient_prompt, donor_prompts FROM workload_items),
@@ -95,8 +106,9 @@ ORACLES: dict[str, str] = {
     "p5_found": _P5,
     "p3_found": _P3,
     "p3_rebuilt": "SELECT DISTINCT ON (source_id) source_id, md5(context) AS text_digest, length(context)::INT AS n_chars, true AS within_limit, true AS overlap_kept FROM source_records WHERE context IS NOT NULL",
-    "p4_daily": _P4.format(keys="dataset, transform, day", values=_P4_VALUES),
-    "p4_period": _P4.format(keys="dataset, transform", values=_P4_VALUES),
+    "p4_daily": _P4.format(keys="dataset, transform, day", exact=_P4_EXACT, values=_P4_VALUES),
+    "p4_period": _P4.format(keys="dataset, transform", exact=_P4_EXACT, values=_P4_VALUES),
+    "p4_compressed": _P4_COMPRESSED,
     "p7_found": _P7,
     "p7_totals": _P7_TOTALS,
 }

@@ -2,17 +2,22 @@ import math
 import random
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from reprise.llm.quantiles import DEPTH, digests, leaf_of, merge, percentiles, request_times, value_of
+from reprise.llm.quantiles import DEPTH, digests, leaf_of, merge, percentiles, rank_check, request_times, value_of
 
 
 def test_leaves_are_ordered_and_narrow(spark):
-    values = [0.0, -1.0, 0.004, 1 / 256, 0.9999, 1.0, 7.999999, 8.0, 123.456, 2.0**24 - 1, 2.0**24, float("inf")] + [2.0**k for k in range(-8, 24)]
-    rows = spark.createDataFrame([(x,) for x in sorted(values)], "x double").select("x", leaf_of(F.col("x")).alias("leaf"), value_of(leaf_of(F.col("x"))).alias("back")).collect()
-    leaves = [r.leaf for r in sorted(rows, key=lambda r: r.x)]
-    assert leaves == sorted(leaves) and 0 <= leaves[0] and leaves[-1] == 2**DEPTH - 1
-    assert all(abs(r.back - r.x) <= r.x / 2048 for r in rows if 2**-8 <= r.x < 2**24)
+    rng = random.Random(1)
+    some = [0.0, 0.004, 1 / 256, 0.9999, 1.0, 7.999999, 8.0, 123.456, 2.0**24 - 1, 2.0**24, 1e300, 1.7976931348623157e308, 2.0**-1022, 2.0**-1023, 5e-324, float("inf")]
+    some += [2.0**k * f for k in range(-1022, 1023, 13) for f in (1, 1 - 2**-53, 1 + 2**-52)] + [10.0 ** rng.uniform(-300, 300) for _ in range(500)]
+    values = sorted({x for v in some for x in (v, -v)})
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", leaf_of(F.col("x")).alias("leaf"), value_of(leaf_of(F.col("x"))).alias("back")).collect()
+    bits = np.array([abs(r.x) for r in rows]).view(np.int64) >> 41
+    assert [r.leaf for r in rows] == [2**22 - 1 - b if r.x < 0 else 2**22 + b for r, b in zip(rows, bits.tolist())]
+    assert 0 <= min(r.leaf for r in rows) and max(r.leaf for r in rows) < 2**DEPTH
+    assert all(r.back == r.x if math.isinf(r.x) else abs(r.back - r.x) <= max(abs(r.x) / 2048, 2.0**-1033) for r in rows)
 
 
 def check(values, got, error, n_parts=1):
@@ -39,6 +44,8 @@ def test_rank_error_stays_within_its_bound(spark):
             own = [x for g, _, x in rows if g == r.g]
             assert r.n_values == len(own) and r.rank_error <= error * len(own)
             check(own, r, error * len(own))
+        (all_,) = {tuple(r[4:]) for r in rank_check(df, merged, "g", "x", error).where("g IS NOT NULL").collect()}
+        assert all_ == (True,) * 4
         two = merge(days.where("d < 2"), ["g"], error)
         for r in percentiles(two, ["g"]).collect():
             check([x for g, d, x in rows if g == r.g and d < 2], r, error * r.n_values)
