@@ -4,7 +4,8 @@ Each language has an interpolated Kneser-Ney model of characters within words, s
 characters down. The models of all languages share one sorted array of n-gram keys per order, with a
 row of log probabilities per key, so one search scores a character under every language. A text's
 language is the one of lowest cross-entropy per character; a text whose cross-entropy lies beyond
-what the models' own language shows is rejected as "und".
+what held-out texts of the language show is rejected as "und". Confidence is a posterior whose
+temperature is fitted on held-out sentences.
 
 The models are fitted on a bounded sample of labelled documents: at most `SAMPLE_DOCUMENTS` of each
 language, and of these at most `SAMPLE_CHARS` characters. Everything else covers whole texts.
@@ -29,11 +30,11 @@ _MASK = (1 << _BITS) - 1
 SWITCH = 12.0
 #: Nats by which a sentence must prefer its stretch's language to count as prose of it.
 CLEAR = 3.0
-#: Posterior temperature: evidence of neighbouring characters is far from independent.
-TEMPERATURE = 8.0
-#: A text is of none of the models' languages if its cross-entropy per character is beyond so many
-#: times what unseen text of the language has on average.
-REJECT = 4.0
+#: Posterior temperatures that are tried: evidence of neighbouring characters is far from independent.
+TEMPERATURES = tuple(2.0 ** (k / 2) for k in range(15))
+#: A text is of none of the models' languages if its cross-entropy per character is so many nats beyond
+#: the one that this share of held-out texts of the language stays within.
+REJECT_SHARE, REJECT_SLACK = 0.99, 2.0
 #: Sentences that a stretch of prose needs, and words that each of them needs.
 SENTENCES, SENTENCE_WORDS = 2, 3
 #: Han characters that count as a word: Chinese has no spaces, so a whole clause is one token.
@@ -181,6 +182,7 @@ class KneserNey:
             self.backoff.append(weight.astype(np.float32))
         self.floor = floor.astype(np.float32)
         self.reject = np.full(m, np.inf)  # highest cross-entropy of a text of each language
+        self.temperature = 1.0
 
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log probability of each word under each language, characters drawn: its own and its end)."""
@@ -255,34 +257,63 @@ def fit(sample: dict[str, list[str]], rounds: int = 3, model: Callable = KneserN
                 chars += len(x)
         if own:
             parts[language] = own
-    languages = sorted(parts)
-    entropy = np.zeros(len(languages))
     for r in range(rounds):
         scores = _unseen_best(parts, model)
-        for j, x in enumerate(languages):
+        for j, x in enumerate(sorted(parts)):
             if r < rounds - 1:
                 kept = [t for t, s in zip(parts[x], scores[x]) if s.sum(axis=0).argmax() == j]
             else:
                 kept = [k for t, s in zip(parts[x], scores[x]) if (k := [w for w, b in zip(t, s.argmax(axis=1)) if b == j])]
-            own = [(s[:, j].sum(), sum(len(w) + 1 for k in t for w in k)) for t, s in zip(parts[x], scores[x]) if s.sum(axis=0).argmax() == j]
-            entropy[j] = -sum(a for a, _ in own) / max(1, sum(b for _, b in own)) or np.inf
             parts[x] = kept or parts[x]
     made = model({x: [w for t in texts for s in t for w in s] for x, texts in parts.items()})
-    made.reject = REJECT * entropy
+    _calibrate(made, parts, _unseen_best(parts, model))
     return made
 
 
+def _calibrate(made: KneserNey, parts: dict[str, list[list[list[str]]]], scores: dict[str, list[np.ndarray]]) -> None:
+    """Sets a model's rejection and temperature by the scores of texts under models that have not seen them."""
+    losses = np.zeros(len(TEMPERATURES))
+    for j, x in enumerate(sorted(parts)):
+        chars = [sum(len(w) + 1 for s in t for w in s) for t in parts[x]]
+        beyond = [-s.max(axis=1).sum() / n for s, n in zip(scores[x], chars) if len(s)]
+        if beyond:
+            made.reject[j] = np.quantile(beyond, REJECT_SHARE) + REJECT_SLACK
+        each = np.concatenate([s for s in scores[x] if len(s)] or [np.zeros((0, len(parts)))]).astype(float)
+        for k, t in enumerate(TEMPERATURES):
+            z = (each - each.max(axis=1, keepdims=True, initial=-np.inf)) / t
+            losses[k] += (np.log(np.exp(z).sum(axis=1)) - z[:, j]).sum() / max(1, len(each))
+    made.temperature = TEMPERATURES[int(losses.argmin())]
+
+
+def _least(most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The `most` least different hashes of each language in a partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for language, own in batch.groupby("language")["h"]:
+                held[language] = np.unique(np.concatenate([held.get(language, np.zeros(0, np.int64)), own.to_numpy()]))[:most]
+        for language, own in held.items():
+            yield pd.DataFrame({"language": language, "h": own})
+
+    return run
+
+
 def sample_texts(documents: DataFrame, per_language: int = SAMPLE_DOCUMENTS) -> dict[str, list[str]]:
-    """At most `per_language` documents of each language, by label, in an order of hashes.
+    """At most `per_language` different documents of each language, by label, in an order of hashes.
 
-    The limit is applied within every partition before anything moves.
+    Hashes are chosen first, within every partition before anything moves; whole texts are read for
+    the chosen ones only.
     """
-    named = documents.where("text IS NOT NULL").select("text", label_language(F.col("lang")).alias("language"))
-    named = named.where(F.col("language").isin(*LANGUAGES)).withColumn("h", F.xxhash64("text"))
-    first = F.row_number().over(Window.partitionBy("language").orderBy("h", "text"))
-    rows = named.withColumn("r", first).where(F.col("r") <= per_language).select("language", "h", "text").toLocalIterator()
+    named = documents.where("text IS NOT NULL").select("text", label_language(F.col("lang")).alias("language")).where(F.col("language").isin(*LANGUAGES)).withColumn("h", F.xxhash64("text"))
+    least = named.select("language", "h").mapInPandas(_least(per_language), "language string, h bigint").distinct()
+    first = F.row_number().over(Window.partitionBy("language").orderBy("h"))
+    last = {r.language: r.h for r in least.withColumn("r", first).where(F.col("r") <= per_language).groupBy("language").agg(F.max("h").alias("h")).collect()}
+    if not last:
+        return {}
+    limits = F.create_map(*(F.lit(x) for pair in sorted(last.items()) for x in pair))
     out: dict[str, list[tuple[int, str]]] = {}
-    for r in rows:
+    for r in named.where(F.col("h") <= limits[F.col("language")]).dropDuplicates(["language", "h"]).toLocalIterator():
         out.setdefault(r.language, []).append((r.h, r.text))
     return {x: [t for _, t in sorted(rows)] for x, rows in sorted(out.items())}
 
@@ -304,8 +335,8 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return path
 
 
-def posterior(scores: np.ndarray) -> np.ndarray:
-    x = (scores - scores.max()) / TEMPERATURE
+def posterior(scores: np.ndarray, temperature: float) -> np.ndarray:
+    x = (scores - scores.max()) / temperature
     p = np.exp(x)
     return p / p.sum()
 
@@ -314,7 +345,7 @@ _SEGMENT = "struct<start:int,end:int,lang:string,confidence:double,sentences:int
 LABELLED_SCHEMA = f"doc_id bigint, label_lang string, lang string, confidence double, mixed array<string>, segments array<{_SEGMENT}>"
 
 
-def _stretches(text: str, scores: np.ndarray, lengths: np.ndarray, languages: list[str]) -> tuple[list[dict], list[str]]:
+def _stretches(text: str, scores: np.ndarray, lengths: np.ndarray, languages: list[str], temperature: float) -> tuple[list[dict], list[str]]:
     """Segments of a text, whose sentences have `lengths` words, and the languages that it holds at least `SENTENCES` sentences of prose in."""
     path = viterbi(scores)
     spans = _sentence_spans(text)
@@ -324,7 +355,7 @@ def _stretches(text: str, scores: np.ndarray, lengths: np.ndarray, languages: li
         j = path[a]
         others = np.delete(scores[a:b], j, axis=1).max(axis=1, initial=-np.inf)
         n = int(((scores[a:b, j] - others > CLEAR) & (lengths[a:b] >= SENTENCE_WORDS)).sum())
-        segments.append({"start": spans[a][0], "end": spans[b - 1][1], "lang": languages[j], "confidence": float(posterior(scores[a:b].sum(axis=0))[j]), "sentences": n})
+        segments.append({"start": spans[a][0], "end": spans[b - 1][1], "lang": languages[j], "confidence": float(posterior(scores[a:b].sum(axis=0), temperature)[j]), "sentences": n})
         if n >= SENTENCES:
             prose[j] = True
     return segments, [languages[j] for j in sorted(prose)]
@@ -392,8 +423,8 @@ def label_texts(model: KneserNey, texts: list[str]) -> list[tuple]:
             continue
         segments, prose = [], []
         if n > 1 and (best[end - n : end] != best[end - n]).any():
-            segments, prose = _stretches(text, own, lengths[end - n : end], model.languages)
-        language, sure = model.languages[j], float(posterior(total)[j])
+            segments, prose = _stretches(text, own, lengths[end - n : end], model.languages, model.temperature)
+        language, sure = model.languages[j], float(posterior(total, model.temperature)[j])
         if len(prose) > 1:
             out.append((language, sure, prose, segments))
         else:

@@ -110,7 +110,7 @@ class NaiveBayes:
                 table[np.searchsorted(keys, k), j] += c
             total = table.sum(axis=0) + 1
             self.tables.append((keys, np.log(table / total).astype(np.float32), -np.log(total).astype(np.float32)))
-        self.reject = np.full(len(self.languages), np.inf)
+        self.reject, self.temperature = np.full(len(self.languages), np.inf), 1.0
 
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log likelihood of each word under each language, its length with its end)."""
@@ -257,7 +257,7 @@ def pair_defects(pairs: DataFrame, labelled: dict[str, list[str]], contexts: Dat
     key = F.md5(F.to_json(F.struct("prompt", "response"), {"ignoreNullFields": "false"}))
     keyed = pairs.select("record_id", key.alias("pair"), "prompt", "response", "context_id")
     records = keyed.select("record_id", "pair").distinct()
-    once = materialise(keyed.groupBy("pair").agg(F.first("prompt").alias("prompt"), F.first("response").alias("response"), F.max("context_id").alias("context_id")))
+    once = materialise(keyed.groupBy("pair").agg(F.first("prompt").alias("prompt"), F.first("response").alias("response")))
     shared = pairs.sparkSession.sparkContext.broadcast(fit(labelled, model=NaiveBayes))  # bounded by the sample
     features = materialise(once.select("pair", "prompt", "response").mapInPandas(_features(shared), "pair string, defect string, tail array<string>, last_word string, doubt boolean"))
     sure = features.where("defect IS NOT NULL").select("pair", "defect")
@@ -282,9 +282,19 @@ def pair_defects(pairs: DataFrame, labelled: dict[str, list[str]], contexts: Dat
     broken = plain & (F.col("n_longer") >= WHOLE_WORD) & (F.col("n_0") * WHOLE_WORD < F.col("n_longer"))
     # A word never met but at the end of a text, a broken one, or words that next to never end a sentence.
     unlikely = F.col("n_0").isNull() | F.coalesce(broken, F.lit(False)) | (likelihood < END_SHARE)
-    about = seen.join(once.select("pair", "context_id", "prompt"), "pair").join(contexts.select("context_id", "context"), "context_id", "left")
-    cut = about.where(unlikely | _is_cut_name(F.col("last_word"), F.concat_ws(" ", "prompt", "context"))).select("pair", F.lit("truncated").alias("defect"))
-    return records.join(sure.union(cut), "pair").select("record_id", "defect").distinct()
+    judged = seen.withColumn("unlikely", unlikely)
+    cut = judged.where("unlikely").select("pair", F.lit("truncated").alias("defect"))
+    # A name may be cut for one context and whole for another, so it is looked up in each of a pair's contexts.
+    names = judged.where(~F.col("unlikely") & F.regexp_like("last_word", F.lit(_NAME))).select("pair", "last_word")
+    about = names.join(keyed.select("pair", "context_id", "prompt").distinct(), "pair").join(contexts.select("context_id", "context"), "context_id", "left")
+    cut_names = about.where(_is_cut_name(F.col("last_word"), F.concat_ws(" ", "prompt", "context"))).select("pair", "context_id").distinct()
+    of_context = keyed.select("record_id", "pair", "context_id").join(cut_names, ["pair", "context_id"]).select("record_id", F.lit("truncated").alias("defect"))
+    without = keyed.where("context_id IS NULL").select("record_id", "pair").join(about.where("context_id IS NULL").where(_is_cut_name(F.col("last_word"), F.col("prompt"))).select("pair").distinct(), "pair").select("record_id", F.lit("truncated").alias("defect"))
+    return records.join(sure.union(cut), "pair").select("record_id", "defect").union(of_context).union(without).distinct()
+
+
+#: What a last word must hold to be a name or a code.
+_NAME = r"[\p{Lu}\p{N}]"
 
 
 def _is_cut_name(word: Column, text: Column) -> Column:
@@ -292,4 +302,4 @@ def _is_cut_name(word: Column, text: Column) -> Column:
     plain = F.regexp_replace(word, r"([^\p{L}\p{N}_])", r"\\$1")
     begins = F.regexp_like(text, F.concat(F.lit(r"(?<![\p{L}\p{N}_-])"), plain, F.lit(r"[\p{L}\p{N}_-]")))
     stands = F.regexp_like(text, F.concat(F.lit(r"(?<![\p{L}\p{N}_-])"), plain, F.lit(r"(?![\p{L}\p{N}_-])")))
-    return F.coalesce(F.regexp_like(word, F.lit(r"[\p{Lu}\p{N}]")) & begins & ~stands, F.lit(False))
+    return F.coalesce(F.regexp_like(word, F.lit(_NAME)) & begins & ~stands, F.lit(False))

@@ -35,6 +35,24 @@ def test_held_out_accuracy(model):
     assert [g[0] for g in label_texts(model, ["Wszyscy ludzie rodzą się wolni i równi", "人人生而自由"])] == ["und", "und"]
 
 
+def test_other_languages_are_rejected(model):
+    others = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Всі люди народжуються вільними і рівними у своїй гідності та правах.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "qwjx zkvp brtl mnhg xcvb wqpl jkhz tyrw plmk nbvc",
+    ]
+    assert {g[:2] for g in label_texts(model, others)} == {("und", 0.0)}
+    assert np.isfinite(model.reject).all() and model.temperature >= 1
+
+
+def test_sample_takes_copies_once(spark):
+    df = spark.createDataFrame([(f"text {n % 40}", "en") for n in range(400)] + [("x", "German"), (None, "de"), ("y", None)], "text string, lang string").repartition(5)
+    got = sample_texts(df, 30)
+    assert len(got["en"]) == len(set(got["en"])) == 30 and got["de"] == ["x"] and set(got) == {"de", "en"}
+    assert got == sample_texts(df.repartition(2), 30) and sample_texts(df.limit(0)) == {}
+
+
 def test_probabilities_sum_to_one(model):
     for j in range(3):
         for start in ("", "d", "se", "xq"):
