@@ -192,7 +192,7 @@ _STRATUM = "CASE WHEN wrapper_rank IS NULL THEN 'unstratified' WHEN wrapper_rank
 _CLEAN_NUM = r"CASE WHEN regexp_full_match({x}, '\s*[+-]?[0-9]+\s*') THEN {x}::BIGINT END"
 _FIRST = f"WITH {ROWS_SQL}, firsts AS (SELECT DISTINCT ON (item_id, arm) * FROM rows_ WHERE arm IN ('cold', 'warm') ORDER BY item_id, arm, started_at, engine_request_id), c AS (SELECT * FROM firsts WHERE arm = 'cold'), w AS (SELECT * FROM firsts WHERE arm = 'warm'), j AS (SELECT coalesce(c.item_id, w.item_id) AS item_id, CASE WHEN w.item_id IS NULL THEN 'only_cold' WHEN c.item_id IS NULL THEN 'only_warm' WHEN {' AND '.join(f'c.{x} IS NOT DISTINCT FROM w.{x}' for x in pairing.FINGERPRINT)} THEN 'paired' ELSE 'mismatch' END AS status FROM c FULL JOIN w ON c.item_id = w.item_id)"
 _STAMPED = f"""{FOLD_SQL}, {RESOLVED_SQL}, stamped AS (SELECT r.* EXCLUDE (external_confirmed_tokens), s.match, s.audited_id IS NOT NULL AS audit_joined, f.observed_boundary AS audit_observed_boundary,
-  CASE WHEN f.advertise_count > 0 THEN f.advertised_tokens END AS audit_advertised_tokens, CASE WHEN f.request_id IS NOT NULL THEN f.materialized_tokens IS NOT NULL END AS audit_materialized, coalesce(f.materialized_tokens, r.external_confirmed_tokens) AS external_confirmed_tokens,
+  CASE WHEN f.advertise_count > 0 THEN f.advertised_tokens END AS audit_advertised_tokens, f.advertised_target_start AS audit_advertised_target_start, CASE WHEN f.request_id IS NOT NULL THEN f.materialized_tokens IS NOT NULL END AS audit_materialized, coalesce(f.materialized_tokens, r.external_confirmed_tokens) AS external_confirmed_tokens,
   CASE WHEN f.request_id IS NOT NULL THEN f.lookup_hits > 0 END AS audit_lookup_hit, f.hit_boundary AS audit_hit_boundary, f.miss_reason AS audit_miss_reason, f.missed_at AS audit_missed_at, f.decline_event AS audit_decline_event, f.superseded_tokens AS audit_superseded_tokens, f.prefix_blocks_evicted AS audit_blocks_evicted
   FROM rows_ r JOIN resolved s USING (engine_request_id) LEFT JOIN folded f ON f.request_id = s.audited_id)"""
 
