@@ -92,11 +92,11 @@ def p8_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recipient prompt and donor texts of each distinct item."""
+    """Recipient prompt and donor texts of items; those of repeated rows come as often."""
     items = table(spark, sf_dir, "workload_items").select("item_id", "recipient_prompt", "donor_prompts")
     own = items.select(F.col("item_id").alias("record_id"), F.lit("recipient").alias("part"), F.col("recipient_prompt").alias("text"))
     donors = items.select(F.col("item_id").alias("record_id"), F.posexplode("donor_prompts").alias("n", "d"))
-    return own.union(donors.select("record_id", F.concat(F.lit("donor "), "n"), "d.text")).dropDuplicates(["record_id", "part"])
+    return own.union(donors.select("record_id", F.concat(F.lit("donor "), "n"), "d.text"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,17 +111,18 @@ def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared stretches between classes of equal texts, with offsets."""
-    return spans.SharedSpans(_item_texts(spark, sf_dir)).stretches
+    found = spans.SharedSpans(_item_texts(spark, sf_dir)).stretches
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("text_a", "text_b")})
 
 
 def p1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of prompts and donor texts; all but the earliest of equal ones are marked for removal."""
-    return spans.line_units(_item_texts(spark, sf_dir), "line", least=20)
+    return spans.line_units(_item_texts(spark, sf_dir).dropDuplicates(["record_id", "part"]), "line", least=20)
 
 
 def _prompts(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
     items = table(spark, sf_dir, "workload_items").select(F.col("item_id").alias("id"), F.col("recipient_prompt").alias("text"))
-    return neardup.NearDuplicates(items.dropDuplicates(["id"]), words=3, similarity=Fraction(3, 5))
+    return neardup.NearDuplicates(items, words=3, similarity=Fraction(3, 5))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

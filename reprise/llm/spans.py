@@ -3,8 +3,10 @@
 Whole lines or paragraphs as units can't give every stretch of a minimum length: a stretch may begin
 and end within lines. Units here are windows of half that length at places chosen by the text around
 them (the least hash among neighbouring windows), so any stretch of the minimum length holds a whole
-unit wherever it stands. Units' digests are grouped globally, each pair of texts that shares one is
-compared along the shared alignment, and stretches come out with their offsets in the original.
+unit wherever it stands. Units' digests are grouped globally. Shared units of one alignment that
+follow each other without a gap make a shared stretch by themselves; only pairs of texts whose units
+don't reach the minimum length that way are compared. Where stretches are asked for, every aligned
+pair is, and they come out with their offsets in the original.
 
 `line_units` is the plain form: lines or paragraphs, normalised, digests grouped globally, the
 earliest ranked occurrence kept.
@@ -13,10 +15,11 @@ earliest ranked occurrence kept.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reprise.operators.skew import grid_join
@@ -118,40 +121,67 @@ def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"text_id": batch["text_id"], "shared_chars": n})
 
 
+def _covered_by_units(places: str, size: int) -> Column:
+    """Most characters that units of `size` at sorted places cover without a gap."""
+    start = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(0).alias("most"))
+
+    def step(x: Column, p: Column) -> Column:
+        begin = F.when(p <= x.end, x.start).otherwise(p)
+        return F.struct(begin.alias("start"), (p + size).alias("end"), F.greatest(x.most, p + size - begin).alias("most"))
+
+    return F.aggregate(places, start, step, lambda x: x.most)
+
+
 class SharedSpans:
     """Shared stretches of the texts of records.
 
     `texts` is (record_id, part, text): any number of texts per record. Equal texts are one class;
     stretches are found between classes, so copies cost nothing, however many there are. Texts of
-    one record are not compared with each other unless other records hold them too. Null record
-    ids and texts are left out; texts shorter than the least length share nothing.
+    one record are not compared with each other unless other records hold them too. Repeated rows
+    count once. Null record ids and texts are left out; texts shorter than the least length share
+    nothing. No text is shuffled more than once for the pairs that units settle.
     """
 
     def __init__(self, texts: DataFrame, least: int = LEAST):
         self.least = least
-        rows = texts.where("record_id IS NOT NULL AND text IS NOT NULL").select(F.col("record_id").cast("string").alias("record_id"), F.col("part").cast("string").alias("part"), F.md5("text").alias("text_id"), F.char_length("text").alias("n_chars"), "text")
-        rows = materialise(rows)
-        self.parts = rows.select("record_id", "part", "text_id", "n_chars")
+        rows = texts.where("record_id IS NOT NULL AND text IS NOT NULL").select(F.col("record_id").cast("string").alias("record_id"), F.col("part").cast("string").alias("part"), F.unhex(F.md5("text")).alias("text_id"), F.char_length("text").alias("n_chars"), "text")
+        self.parts = materialise(rows.drop("text").distinct())
         self.owners = self.parts.where(F.col("n_chars") >= least).select("text_id", "record_id").distinct()
-        unique = rows.where(F.col("n_chars") >= least).select("text_id", "text").dropDuplicates(["text_id"])
-        posts = unique.mapInPandas(_unit_rows(least), "text_id string, digest bigint, place int")
-        ranks = self.owners.groupBy("text_id").agg(F.min("record_id").alias("first"), F.max("record_id").alias("last"))
-        posts = materialise(posts.join(ranks, "text_id"))
-        left = posts.select("digest", *(F.col(c).alias(f"{c}_a") for c in ("text_id", "place", "first", "last")))
-        right = posts.select("digest", *(F.col(c).alias(f"{c}_b") for c in ("text_id", "place", "first", "last")))
+        self.unique = materialise(rows.where(F.col("n_chars") >= least).groupBy("text_id").agg(F.first("text").alias("text")))
+        posts = self.unique.mapInPandas(_unit_rows(least), "text_id binary, digest bigint, place int")
+        # The one record that holds a text, null if several do.
+        sole = self.owners.groupBy("text_id").agg(F.when(F.min("record_id") == F.max("record_id"), F.min("record_id")).alias("sole"))
+        posts = materialise(posts.join(sole, "text_id"))
+        left = posts.select("digest", *(F.col(c).alias(f"{c}_a") for c in ("text_id", "place", "sole")))
+        right = posts.select("digest", *(F.col(c).alias(f"{c}_b") for c in ("text_id", "place", "sole")))
         # Different texts of one and the same record only are no pair.
-        apart = "text_id_a < text_id_b AND NOT (first_a = last_a AND first_b = last_b AND first_a = first_b)"
-        aligned = grid_join(left, right, "digest", "text_id_a", "text_id_b").where(apart).select(F.col("text_id_a").alias("text_a"), F.col("text_id_b").alias("text_b"), (F.col("place_b") - F.col("place_a")).alias("shift"))
-        pairs = aligned.groupBy("text_a", "text_b").agg(F.collect_set("shift").alias("shifts"))
-        both = pairs.join(unique.toDF("text_b", "x_b"), "text_b").join(unique.toDF("text_a", "x_a"), "text_a")
-        self.stretches = materialise(both.mapInPandas(_compare(least), "text_a string, text_b string, start_a int, start_b int, length int"))
+        apart = (F.col("text_id_a") < F.col("text_id_b")) & ~F.coalesce(F.col("sole_a") == F.col("sole_b"), F.lit(False))
+        met = grid_join(left, right, "digest", "text_id_a", "text_id_b").where(apart)
+        aligned = met.groupBy(F.col("text_id_a").alias("text_a"), F.col("text_id_b").alias("text_b"), (F.col("place_b") - F.col("place_a")).alias("shift")).agg(F.array_sort(F.collect_set("place_a")).alias("places"))
+        self.aligned = materialise(aligned.select("text_a", "text_b", "shift", (_covered_by_units("places", max(1, least // 2)) >= least).alias("sure")))
+
+    def _compared(self, pairs: DataFrame) -> DataFrame:
+        """Stretches of pairs (text_a, text_b, shifts)."""
+        both = pairs.join(self.unique.toDF("text_b", "x_b"), "text_b").join(self.unique.toDF("text_a", "x_a"), "text_a")
+        return both.mapInPandas(_compare(self.least), "text_a binary, text_b binary, start_a int, start_b int, length int")
+
+    @cached_property
+    def stretches(self) -> DataFrame:
+        """(text_a, text_b, start_a, start_b, length): shared stretches between classes of equal texts."""
+        return materialise(self._compared(self.aligned.groupBy("text_a", "text_b").agg(F.collect_set("shift").alias("shifts"))))
+
+    @cached_property
+    def linked(self) -> DataFrame:
+        """(text_a, text_b): pairs of classes that share a stretch."""
+        pairs = self.aligned.groupBy("text_a", "text_b").agg(F.max("sure").alias("sure"), F.collect_set("shift").alias("shifts"))
+        doubtful = self._compared(pairs.where("NOT sure").drop("sure")).select("text_a", "text_b").distinct()
+        return materialise(pairs.where("sure").select("text_a", "text_b").union(doubtful))
 
     def record_pairs(self) -> DataFrame:
         """(id_a, id_b), id_a < id_b: records that share a stretch."""
         left = self.owners.select(F.col("text_id").alias("text_a"), F.col("record_id").alias("x"))
         right = self.owners.select(F.col("text_id").alias("text_b"), F.col("record_id").alias("y"))
-        linked = self.stretches.select("text_a", "text_b").distinct()
-        between = grid_join(grid_join(linked, left, "text_a", "text_b", "x"), right, "text_b", "x", "y").select("x", "y")
+        between = grid_join(grid_join(self.linked, left, "text_a", "text_b", "x"), right, "text_b", "x", "y").select("x", "y")
         copies = grid_join(left.withColumnRenamed("text_a", "t"), right.withColumnRenamed("text_b", "t"), "t", "x", "y").where("x < y").select("x", "y")
         return between.union(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b").distinct()
 
@@ -160,7 +190,7 @@ class SharedSpans:
         s = self.stretches
         sides = s.select(F.col("text_a").alias("text_id"), F.col("start_a").alias("start"), "length").union(s.select("text_b", "start_b", "length"))
         spans = sides.select("text_id", F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("s")).groupBy("text_id").agg(F.collect_set("s").alias("spans"))
-        shared = spans.mapInPandas(_covered, "text_id string, shared_chars int")
+        shared = spans.mapInPandas(_covered, "text_id binary, shared_chars int")
         copies = self.owners.groupBy("text_id").agg(F.count("*").alias("n_records"))
         named = self.parts.join(copies, "text_id", "left").join(shared, "text_id", "left")
         n = F.when(F.col("n_records") > 1, F.col("n_chars")).otherwise(F.coalesce("shared_chars", F.lit(0)))

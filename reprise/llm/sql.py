@@ -80,6 +80,16 @@ spans AS (SELECT DISTINCT item_id, md5_number(substr(t, i, 240)) AS h FROM place
 SELECT DISTINCT a.item_id AS item_id_a, b.item_id AS item_id_b FROM spans a JOIN spans b ON a.h = b.h AND a.item_id < b.item_id
 """
 
+_P1_COVERAGE = f"""
+WITH {_ITEM_TEXTS},
+places AS (SELECT item_id, part, unnest(range(1, length(t) - 238)) AS i, t FROM texts WHERE length(t) >= 240),
+grams AS (SELECT item_id, part, i, md5_number(substr(t, i, 240)) AS h FROM places),
+shared AS (SELECT h FROM grams GROUP BY 1 HAVING count(DISTINCT item_id) > 1),
+held AS (SELECT item_id, part, i, lead(i) OVER (PARTITION BY item_id, part ORDER BY i) AS next FROM grams SEMI JOIN shared USING (h)),
+counted AS (SELECT item_id, part, sum(least(240, coalesce(next - i, 240))) AS n FROM held GROUP BY ALL)
+SELECT item_id AS record_id, part, length(t)::INT AS n_chars, coalesce(n, 0)::INT AS shared_chars FROM texts LEFT JOIN counted USING (item_id, part) WHERE t IS NOT NULL
+"""
+
 _P1_LINES = rf"""
 WITH {_ITEM_TEXTS},
 cut AS (SELECT item_id, part, string_split(regexp_replace(t, '(\r\n|\r|\n)', '\1' || chr(1), 'g'), chr(1)) AS u FROM texts WHERE t IS NOT NULL),
@@ -100,10 +110,26 @@ c AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS c FROM s a JOIN s b ON
 SELECT a AS item_id_a, b AS item_id_b FROM c JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE 5 * c >= 3 * (x.n + y.n - c)
 """
 
+# Classes of equal sets and groups of linked items, each named by its least item.
+_P5_GROUPS = (
+    _P5.rsplit("SELECT a AS", 1)[0].rstrip()
+    + r""",
+e AS (SELECT item_id, list_sort(list(s)) AS l FROM s GROUP BY 1),
+k AS (SELECT item_id, min(item_id) OVER (PARTITION BY l) AS class_id FROM e),
+linked AS (SELECT a, b FROM c JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE 5 * c >= 3 * (x.n + y.n - c)),
+both_ AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT item_id AS a, item_id AS b FROM e UNION SELECT r.a, l.b FROM reach r JOIN both_ l ON r.b = l.a),
+g AS (SELECT a AS item_id, min(b) AS group_id FROM reach GROUP BY 1)
+SELECT item_id AS id, class_id, group_id, (SELECT count(*) FROM both_ WHERE both_.a = g.item_id) AS n_links FROM g JOIN k USING (item_id)
+"""
+).replace("WITH items", "WITH RECURSIVE items", 1)
+
 ORACLES: dict[str, str] = {
     "p1_found": _P1,
+    "p1_coverage": _P1_COVERAGE,
     "p1_lines": _P1_LINES,
     "p5_found": _P5,
+    "p5_groups": _P5_GROUPS,
     "p3_found": _P3,
     "p3_rebuilt": "SELECT DISTINCT ON (source_id) source_id, md5(context) AS text_digest, length(context)::INT AS n_chars, true AS within_limit, true AS overlap_kept FROM source_records WHERE context IS NOT NULL",
     "p4_daily": _P4.format(keys="dataset, transform, day", exact=_P4_EXACT, values=_P4_VALUES),
