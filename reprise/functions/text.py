@@ -1,9 +1,16 @@
-"""Text columns: tokens, identifiers, normal forms, sentences. All of them stay in the JVM."""
+"""Text columns: tokens, identifiers, normal forms, sentences. All of them but token ids stay in the JVM."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
+
+from reprise.functions.columns import bound
 
 # White space and word classes written out, as engines' \s and \w differ.
 SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
@@ -27,10 +34,21 @@ def _little_endian(hex8: Column) -> Column:
     return F.concat(*(F.substring(hex8, at, 2) for at in (7, 5, 3, 1)))
 
 
+def _ids_of(words: pd.Series) -> pd.Series:
+    """31-bit ids of lists of words; a word of a batch is digested once."""
+    given = [w for w in words if w is not None]
+    codes, kinds = pd.factorize(np.concatenate([np.asarray(w, object) for w in given])) if any(map(len, given)) else (np.zeros(0, np.int64), [])
+    by_kind = np.array([int.from_bytes(hashlib.sha256(k.lower().encode("utf-8", "surrogatepass")).digest()[:4], "little") & 0x7FFFFFFF for k in kinds], np.int64)
+    parts = iter(np.split(by_kind[codes], np.cumsum([len(w) for w in given])[:-1]) if given else ())
+    return pd.Series([None if w is None else next(parts) for w in words], dtype=object)
+
+
 def token_ids(text: Column) -> Column:
-    """31-bit ids: the first four bytes, little-endian, of a token's digest in lower case."""
-    word = lambda t: F.conv(_little_endian(F.sha2(F.lower(t), 256)), 16, 10).cast("bigint").bitwiseAND(F.lit(0x7FFFFFFF))
-    return F.transform(tokens(text), word)
+    """31-bit ids: the first four bytes, little-endian, of a token's digest in lower case.
+
+    Tokens are found in the JVM and digested in Arrow batches, each distinct one once.
+    """
+    return F.pandas_udf(_ids_of, ST.ArrayType(ST.LongType()))(tokens(text))
 
 
 def ids_digest(ids: Column) -> Column:
@@ -98,7 +116,7 @@ def scored_words(text: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection."""
+    """Size of the multiset intersection of two arrays, plain columns or variables."""
     count = lambda xs, w: F.size(F.filter(xs, lambda y: y == w))
     return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, w: n + F.least(count(a, w), count(b, w)))
 
@@ -109,14 +127,18 @@ def f1(common: Column, n: Column, m: Column) -> Column:
     return F.when((n == 0) | (m == 0) | (common == 0), 0.0).otherwise(2 * precision * recall / (precision + recall))
 
 
+def _shared(a: Column, b: Column, score) -> Column:
+    """`score` of (common, size of a, size of b), word lists and counts being made once."""
+    counted = bound(F.struct(a.alias("a"), b.alias("b")), lambda s: F.struct(overlap(s.a, s.b).alias("c"), F.size(s.a).alias("n"), F.size(s.b).alias("m")))
+    return bound(counted, lambda x: score(x.c, x.n, x.m))
+
+
 def token_f1(output: Column, answer: Column) -> Column:
-    a, b = normal_words(output), normal_words(answer)
-    return f1(overlap(a, b), F.size(a), F.size(b))
+    return _shared(normal_words(output), normal_words(answer), f1)
 
 
 def answer_recall(output: Column, answer: Column) -> Column:
-    a, b = scored_words(output), scored_words(answer)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(overlap(a, b) / F.size(b))
+    return _shared(scored_words(output), scored_words(answer), lambda c, n, m: F.when((n == 0) | (m == 0), 0.0).otherwise(c / m))
 
 
 def best_of(answers: Column, score) -> Column:

@@ -33,15 +33,24 @@ def greedy_keep(sources: DataFrame, windows: DataFrame, order: str) -> DataFrame
     aggregates by window, so a window that a third of all sources hold makes no pairs. Rounds are as
     many as the longest chain of decisions that depend on each other; state is checkpointed.
     """
-    windows = materialise(windows)
-    state = materialise(windows.select("o").distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    while not state.where("kept IS NULL").isEmpty():
-        held = windows.join(state, "o")
-        by = held.groupBy("h").agg(F.min(F.when(F.col("kept"), F.col("o"))).alias("first_kept"), F.min(F.when(F.col("kept").isNull(), F.col("o"))).alias("first_open"))
-        seen = held.where("kept IS NULL").join(by, "h").groupBy("o").agg(F.bool_or(F.coalesce(F.col("first_kept") < F.col("o"), F.lit(False))).alias("blocked"), F.bool_and(F.col("first_open") == F.col("o")).alias("leads"))
-        decided = F.when(F.col("blocked"), False).when(F.col("leads"), True)
-        state = materialise(state.join(seen, "o", "left").select("o", F.coalesce("kept", decided).alias("kept")))
-    return sources.select(order).join(state.withColumnRenamed("o", order), order, "left").select(order, F.coalesce("kept", F.lit(True)).alias("kept"))
+    # `first_kept` of a window is its least kept holder so far; only windows of undecided sources go on.
+    open_ = materialise(windows.withColumn("first_kept", F.lit(None).cast(windows.schema["o"].dataType)))
+    dropped = None
+    while not open_.isEmpty():
+        by = open_.groupBy("h").agg(F.min("first_kept").alias("kept_"), F.min("o").alias("first_open"))
+        seen = open_.join(by, "h")
+        of = seen.groupBy("o").agg(F.bool_or(F.coalesce(F.col("kept_") < F.col("o"), F.lit(False))).alias("blocked"), F.bool_and(F.col("first_open") == F.col("o")).alias("leads"))
+        decided = materialise(of.where("blocked OR leads").select("o", (~F.col("blocked")).alias("kept")))
+        lost = decided.where("NOT kept").select("o")
+        dropped = lost if dropped is None else dropped.union(lost)
+        told = seen.join(decided, "o", "left")
+        now_kept = told.where("kept").groupBy("h").agg(F.min("o").alias("now"))
+        rest = told.where("kept IS NULL").select("o", "h", "kept_").join(now_kept, "h", "left")
+        open_ = materialise(rest.select("o", "h", F.least("kept_", "now").alias("first_kept")))
+    if dropped is None:
+        return sources.select(order, F.lit(True).alias("kept"))
+    lost = dropped.select(F.col("o").alias(order), F.lit(False).alias("_kept"))
+    return sources.select(order).join(lost, order, "left").select(order, F.coalesce("_kept", F.lit(True)).alias("kept"))
 
 
 def cap_per_dataset(sources: DataFrame, order: str, cap: int) -> DataFrame:

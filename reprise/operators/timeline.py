@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reprise.operators.ordinals import running_sum, with_ordinal
+from reprise.operators.ordinals import carried, running_sum, with_ordinal
 
 
 def in_flight(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,30 +32,39 @@ def gap_shortfall(rows: DataFrame, keys: list[str], unit: str, least: int) -> Da
     without a duration never finished.
     """
     marks = rows.select(*keys, unit, "id", F.explode(F.array(F.struct(F.when(F.col("end_s") > F.col("start_s"), F.col("end_s")).alias("t"), F.lit(0).alias("start")), F.struct(F.col("start_s").alias("t"), F.lit(1).alias("start")))).alias("m")).select(*keys, unit, "id", "m.t", "m.start").where("t IS NOT NULL")
-    w = Window.partitionBy(*keys).orderBy("t", "start", "id")
-    counted = marks.withColumn("done", F.sum(F.when(F.col("start") == 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.last(F.when(F.col("start") == 0, F.col("done")), ignorenulls=True).over(Window.partitionBy(*keys, unit).orderBy("t", "start", "id").rowsBetween(Window.unboundedPreceding, -1))
-    seen = counted.withColumn("since", F.col("done") - last).where("start = 1 AND since IS NOT NULL")
-    return seen.select(*keys, unit, "id", F.col("since").alias("gap"), F.greatest(F.lit(0), F.lit(least) - F.col("since")).alias("shortfall"))
+    ordered = running_sum(marks.select(F.struct(*keys, "t", "start", "id").alias("o"), F.struct(*keys, unit).alias("u"), (1 - F.col("start")).alias("ends")), "o", "ends", "done")
+    # Counts go on from key to key, which differences within a key don't see.
+    at = carried(ordered.withColumn("last", F.when(F.col("ends") == 1, F.col("done"))), "u", "o", "last", "before")
+    seen = at.withColumn("gap", F.col("done") - F.col("before")).where("ends = 0 AND gap IS NOT NULL")
+    return seen.select(*(F.col(f"o.{k}").alias(k) for k in keys), F.col(f"u.{unit}").alias(unit), "o.id", "gap", F.greatest(F.lit(0), F.lit(least) - F.col("gap")).alias("shortfall"))
 
 
 def nearest_earlier(refs: DataFrame, stages: DataFrame, key: str, position: str) -> DataFrame:
     """As-of join: each ref (id, key, position) with the latest stage of its key before its position; refs without one are left out.
 
-    Refs and stages are merged and carried forward in one pass per key, so no pairs arise.
+    Refs and stages are merged and carried forward in one pass, so no pairs arise and no key is one
+    task. Of stages at one position the greatest id counts.
     """
     marks = refs.select(F.col(key).alias("k"), F.col(position).alias("p"), F.lit(0).alias("kind"), "id").union(stages.select(F.col(key), F.col(position), F.lit(1), "id"))
-    w = Window.partitionBy("k").orderBy("p", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    carried = marks.withColumn("found", F.last(F.when(F.col("kind") == 1, F.struct("p", "id")), ignorenulls=True).over(w))
-    return carried.where("kind = 0 AND found IS NOT NULL").select("id", F.col("k").alias(key), F.col("p").alias(position), F.col("found.id").alias("stage"), F.col("found.p").alias("stage_position"))
+    stage = F.when(F.col("kind") == 1, F.struct("p", "id"))
+    found = carried(marks.select("k", F.struct("p", "kind", "id").alias("o"), stage.alias("s")), "k", "o", "s", "found").where("o.kind = 0 AND found IS NOT NULL")
+    return found.select("o.id", F.col("k").alias(key), F.col("o.p").alias(position), F.col("found.id").alias("stage"), F.col("found.p").alias("stage_position"))
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, wanted: tuple[int, ...]) -> DataFrame:
-    """p-th values by nearest rank, half ranks going to the even one; values may not be null."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    at: list[Column] = [F.min(F.when(F.col("_r") == F.rint(F.col("_n").cast("double").__sub__(1) * (p / 100)), F.col(value))).alias(f"p{p}") for p in wanted]
-    return ranked.groupBy(*keys).agg(*at, F.avg(value).alias("mean"))
+    """p-th values by nearest rank, half ranks going to the even one; null values are none.
+
+    Equal values are counted first and ranks are running sums over ranges, so no group is one task.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    placed = running_sum(counts.select(F.struct(*keys, "v").alias("o"), F.struct(*keys).alias("g"), "c"), "o", "c", "upto")
+    totals = placed.groupBy("g").agg(F.sum("c").alias("n"), F.min(F.col("upto") - F.col("c")).alias("base")).withColumnRenamed("g", "g2")
+    ranked = placed.join(totals, F.col("g").eqNullSafe(F.col("g2")))
+    first, last = F.col("upto") - F.col("c") - F.col("base"), F.col("upto") - F.col("base") - 1
+    rank = lambda p: F.rint((F.col("n") - 1).cast("double") * (p / 100))
+    at: list[Column] = [F.min(F.when((first <= rank(p)) & (last >= rank(p)), F.col("o.v"))).alias(f"p{p}") for p in wanted]
+    mean = F.sum(F.col("o.v") * F.col("c")) / F.sum("c")
+    return ranked.groupBy("g").agg(*at, mean.alias("mean")).select("g.*", *(f"p{p}" for p in wanted), "mean")
 
 
 def throughput(rows: DataFrame, keys: list[str]) -> DataFrame:

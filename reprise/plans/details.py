@@ -9,7 +9,7 @@ from reprise.functions import text as T
 from reprise.operators import blocks, pairing
 from reprise.operators import rows as R
 from reprise.operators import signals as S
-from reprise.operators.ordinals import with_ordinal
+from reprise.operators.ordinals import running_sum
 from reprise.plans import metrics as M
 from reprise.plans import runs, views
 from reprise.plans.metrics import _ARM, _FIRST, _PAIRS, ROWS_SQL
@@ -35,9 +35,10 @@ def jn02_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jn03_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items whose first rows of the arms differ in place or in exact hits."""
-    both = pairing.sides(pairing.first_rows(_arms(spark, sf_dir, "stream_position", "exact_hit_blocks")).drop("ordinal"), "inner")
-    return both.where(~F.col("cold.exact_hit_blocks").eqNullSafe(F.col("warm.exact_hit_blocks")) | ~F.col("cold.stream_position").eqNullSafe(F.col("warm.stream_position"))).select("item_id")
+    """Items whose first rows of the arms differ in their fingerprint, and in what of it."""
+    both = pairing.sides(pairing.first_rows(_arms(spark, sf_dir, *pairing.FINGERPRINT)).drop("ordinal"), "inner")
+    differing = F.filter(F.array(*(F.when(~F.col(f"cold.{c}").eqNullSafe(F.col(f"warm.{c}")), c) for c in pairing.FINGERPRINT)), lambda x: x.isNotNull())
+    return both.select("item_id", F.array_join(differing, ",").alias("differing")).where("differing <> ''")
 
 
 def jn12_reference_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +60,11 @@ def jn15_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jn20_prompt_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each recipient's runs of sixteen words that stand in its first donor."""
-    words = views.items(spark, sf_dir).select("item_id", R.split_words(F.coalesce(F.col("donor_prompts")[0]["text"], F.lit(""))).alias("a"), R.split_words(F.col("recipient_prompt")).alias("b"))
-    i = words.select("item_id", R.word_runs(F.col("a")).alias("a"), R.word_runs(F.col("b")).alias("b"))
-    return i.select("item_id", R.overlap_ratio(F.col("a"), F.col("b")).alias("overlap"))
+    """Share of each recipient's runs of sixteen words that stand in each of its donors."""
+    donors = views.items(spark, sf_dir).select("item_id", "recipient_prompt", F.posexplode("donor_prompts").alias("donor_no", "d"))
+    words = donors.select("item_id", "donor_no", R.split_words(F.coalesce("d.text", F.lit(""))).alias("a"), R.split_words(F.col("recipient_prompt")).alias("b"))
+    i = words.select("item_id", "donor_no", R.word_runs(F.col("a")).alias("a"), R.word_runs(F.col("b")).alias("b"))
+    return i.select("item_id", "donor_no", R.overlap_ratio(F.col("a"), F.col("b")).alias("overlap"))
 
 
 def wf13_donor_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +74,11 @@ def wf13_donor_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _same_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of tokens that stand at the same place of an item's recipient and first donor."""
-    i = views.items(spark, sf_dir).select("item_id", T.token_ids(F.col("recipient_prompt")).alias("a"), T.token_ids(F.col("donor_prompts")[0]["text"]).alias("b"), F.col("donor_prompts")[0]["donor_id"].alias("donor_id"))
-    at = i.select("item_id", "donor_id", F.posexplode(F.zip_with("a", "b", lambda x, y: x == y)).alias("pos", "same")).where("same")
-    return at.select("item_id", F.col("pos").alias("ordinal"), F.col("pos").alias("target_pos"), F.col("pos").alias("donor_pos"), "donor_id")
+    """Copies of tokens that stand at the same place of an item's recipient and a donor, donor by donor."""
+    donors = views.items(spark, sf_dir).select("item_id", "recipient_prompt", F.posexplode("donor_prompts").alias("donor_no", "d"))
+    i = donors.select("item_id", "donor_no", T.token_ids(F.col("recipient_prompt")).alias("a"), T.token_ids(F.col("d.text")).alias("b"), "d.donor_id")
+    at = i.select("item_id", "donor_no", "donor_id", F.posexplode(F.zip_with("a", "b", lambda x, y: x == y)).alias("pos", "same")).where("same")
+    return at.select("item_id", F.struct("donor_no", "pos").alias("ordinal"), F.col("pos").alias("target_pos"), F.col("pos").alias("donor_pos"), "donor_id")
 
 
 def mf02_eligible_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,9 +118,9 @@ def ag24_divergence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean divergence, pairs, and the upper median of the first place that differs."""
     kl = runs.mf03_divergence(spark, sf_dir).agg(F.count("*").alias("n_pairs"), F.round(F.avg("kl"), 6).alias("mean_kl"))
     at = runs.mf04_first_divergence(spark, sf_dir).where("first_divergence IS NOT NULL").groupBy(F.col("first_divergence").alias("d")).agg(F.count("*").alias("c"))
-    ranked = with_ordinal(at.select(F.explode(F.sequence(F.lit(1), F.col("c"))).alias("k"), "d").select(F.struct("d", "k").alias("o")), "o")
-    n = ranked.agg(F.count("*").alias("m"))
-    median = ranked.join(F.broadcast(n)).where(F.col("ordinal") == F.floor(F.col("m") / 2)).select(F.col("o.d").alias("median_first_divergence"))
+    upto = running_sum(at, "d", "c", "upto")
+    n = at.agg(F.sum("c").alias("m"))
+    median = upto.join(F.broadcast(n)).where(F.col("upto") > F.floor(F.col("m") / 2)).agg(F.min("d").alias("median_first_divergence"))
     return kl.join(F.broadcast(median))  # a row each
 
 
@@ -140,6 +143,7 @@ def mf08_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIDES = f"WITH {ROWS_SQL}, firsts AS (SELECT DISTINCT ON (item_id, arm) * FROM rows_ WHERE arm IN ('cold', 'warm') ORDER BY item_id, arm, started_at, engine_request_id), c AS (SELECT * FROM firsts WHERE arm = 'cold'), w AS (SELECT * FROM firsts WHERE arm = 'warm')"
 _RUNS = "CASE WHEN len({w}) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len({w}) - 15, 1) + 1), lambda i: array_to_string({w}[i : i + 15], ' '))) END"
 _WORDS = r"list_filter(regexp_split_to_array({x}, '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+'), lambda w: w <> '')"
+_DONORS = f"{ITEMS_SQL}, donors AS (SELECT item_id, recipient_prompt, generate_subscripts(donor_prompts, 1)::INT - 1 AS donor_no, unnest(donor_prompts) AS d FROM items)"
 QUERIES = {
     f.__name__: f
     for f in (wf01_first_rows, wf02_last_rows, jn02_one_sided, jn03_mismatches, jn12_reference_answers, jn13_reference_overlap, jn15_outcomes, jn20_prompt_overlap, wf13_donor_gaps, mf02_eligible_blocks, prj11_contaminated, prj13_pair_classes, prj16_service_time, prj20_domains, ag22_queue_per_request, ag24_divergence_summary, ag42_checks, so02_names, mf08_settle)
@@ -148,15 +152,15 @@ ORACLES = {
     "wf01_first_rows": f"{_SIDES} SELECT item_id, arm, engine_request_id FROM firsts",
     "wf02_last_rows": f"{_PAIRS} SELECT item_id, arm, engine_request_id FROM lasts",
     "jn02_one_sided": f"{_FIRST} SELECT * FROM j WHERE status IN ('only_cold', 'only_warm')",
-    "jn03_mismatches": f"{_SIDES} SELECT c.item_id FROM c JOIN w ON c.item_id = w.item_id WHERE c.exact_hit_blocks IS DISTINCT FROM w.exact_hit_blocks OR c.stream_position IS DISTINCT FROM w.stream_position",
+    "jn03_mismatches": f"{_SIDES}, m AS (SELECT c.item_id, concat_ws(',', {', '.join(f'CASE WHEN c.{x} IS DISTINCT FROM w.{x} THEN {chr(39)}{x}{chr(39)} END' for x in pairing.FINGERPRINT)}) AS differing FROM c JOIN w ON c.item_id = w.item_id) SELECT * FROM m WHERE differing <> ''",
     "jn12_reference_answers": f"""WITH {ROWS_SQL}, p AS (SELECT DISTINCT ON (item_id) item_id, stream_position AS p FROM rows_ WHERE arm = 'warm' AND traffic_class = 'reworded_doc' ORDER BY item_id, started_at DESC, engine_request_id DESC),
       r AS (SELECT DISTINCT ON (item_id) item_id, stream_position, output_text FROM rows_ WHERE arm <> 'warm' ORDER BY item_id, started_at, engine_request_id), s AS (SELECT p.item_id, CASE WHEN r.item_id IS NULL THEN 'missing' WHEN p <> stream_position THEN 'moved' WHEN coalesce(output_text, '') = '' THEN 'empty' ELSE 'answered' END AS status, output_text FROM p LEFT JOIN r ON p.item_id = r.item_id)
       SELECT item_id, status, CASE WHEN status = 'answered' THEN output_text END AS answer FROM s""",
     "jn13_reference_overlap": f"WITH {ROWS_SQL} SELECT dataset, bool_or(item_id IN (SELECT item_id FROM rows_ WHERE arm <> 'warm')) AS overlaps FROM rows_ WHERE arm = 'warm' GROUP BY 1",
     "jn15_outcomes": f"WITH {ROWS_SQL} SELECT item_id, count(*) FILTER (WHERE arm = 'cold') AS cold, count(*) FILTER (WHERE arm = 'single') AS single, count(*) FILTER (WHERE arm = 'warm') AS warm FROM rows_ GROUP BY 1",
-    "jn20_prompt_overlap": f"WITH {ITEMS_SQL}, w AS (SELECT item_id, {_WORDS.format(x='coalesce(donor_prompts[1].text, ' + chr(39) * 2 + ')')} AS x, {_WORDS.format(x='recipient_prompt')} AS y FROM items), r AS (SELECT item_id, {_RUNS.format(w='x')} AS a, {_RUNS.format(w='y')} AS b FROM w) SELECT item_id, CASE WHEN len(b) = 0 THEN 1.0 ELSE len(list_intersect(b, a)) / len(b) END AS overlap FROM r",
+    "jn20_prompt_overlap": f"WITH {_DONORS}, w AS (SELECT item_id, donor_no, {_WORDS.format(x='coalesce(d.text, ' + chr(39) * 2 + ')')} AS x, {_WORDS.format(x='recipient_prompt')} AS y FROM donors), r AS (SELECT item_id, donor_no, {_RUNS.format(w='x')} AS a, {_RUNS.format(w='y')} AS b FROM w) SELECT item_id, donor_no, CASE WHEN len(b) = 0 THEN 1.0 ELSE len(list_intersect(b, a)) / len(b) END AS overlap FROM r",
     "wf13_donor_gaps": f"WITH {ITEMS_SQL}, i AS (SELECT source_id, (metadata::JSON ->> '$.stream_position')::BIGINT AS p FROM items), n AS (SELECT a.p - b.p AS gap FROM i a ASOF JOIN i b ON a.source_id = b.source_id AND a.p > b.p) SELECT gap, count(*) AS n FROM n GROUP BY 1",
-    "mf02_eligible_blocks": f"WITH {ITEMS_SQL}, t AS (SELECT item_id, {sql_token_ids('recipient_prompt')} AS a, {sql_token_ids('donor_prompts[1].text')} AS b FROM items), p AS (SELECT item_id, unnest(range(0, least(len(a), len(b)))) AS i, a, b FROM t), m AS (SELECT item_id, i FROM p WHERE a[i + 1] = b[i + 1]), k AS (SELECT item_id, i // 16 AS block_no, count(*) AS n FROM m GROUP BY ALL) SELECT item_id, count(*) FILTER (WHERE n = 16) AS eligible_blocks FROM k GROUP BY 1",
+    "mf02_eligible_blocks": f"WITH {_DONORS}, t AS (SELECT item_id, donor_no, {sql_token_ids('recipient_prompt')} AS a, {sql_token_ids('d.text')} AS b FROM donors), p AS (SELECT item_id, donor_no, unnest(range(0, least(len(a), len(b)))) AS i, a, b FROM t), m AS (SELECT item_id, i, max(donor_no) AS k FROM p WHERE a[i + 1] = b[i + 1] GROUP BY ALL), g AS (SELECT item_id, i // 16 AS block_no, count(*) AS n, count(DISTINCT k) AS d FROM m GROUP BY ALL) SELECT item_id, count(*) FILTER (WHERE n = 16 AND d = 1) AS eligible_blocks FROM g GROUP BY 1",
     "prj11_contaminated": f"WITH {ROWS_SQL} SELECT backend_confirmed_tokens > 16 AS contaminated, count(*) AS n FROM rows_ WHERE arm = 'cold' GROUP BY 1",
     "prj13_pair_classes": f"{_SIDES} SELECT CASE WHEN coalesce(c.error, '') <> '' OR coalesce(w.error, '') <> '' THEN 'errored' WHEN coalesce(c.backend_confirmed_tokens, 0) > 16 OR coalesce(w.backend_confirmed_tokens, 0) > 16 THEN 'contaminated' ELSE 'usable' END AS pair_class, count(*) AS n FROM c JOIN w ON c.item_id = w.item_id GROUP BY 1",
     "prj16_service_time": f"{_SIDES} SELECT c.item_id, coalesce(c.latency_ms, 0) + coalesce(w.latency_ms, 0) AS service_ms FROM c JOIN w ON c.item_id = w.item_id",

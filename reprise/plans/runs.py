@@ -132,9 +132,10 @@ def mf03_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mf04_first_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First place at which an item's recipient and first donor differ, in tokens."""
-    i = views.items(spark, sf_dir).select("item_id", T.token_ids(F.col("recipient_prompt")).alias("a"), T.token_ids(F.col("donor_prompts")[0]["text"]).alias("b"))
-    return i.select("item_id", stats.first_divergence(F.col("a"), F.col("b")).cast("bigint").alias("first_divergence"))
+    """First place at which an item's recipient and each of its donors differ, in tokens."""
+    donors = views.items(spark, sf_dir).select("item_id", "recipient_prompt", F.posexplode("donor_prompts").alias("donor_no", "d"))
+    i = donors.select("item_id", "donor_no", T.token_ids(F.col("recipient_prompt")).alias("a"), T.token_ids(F.col("d.text")).alias("b"))
+    return i.select("item_id", "donor_no", stats.first_divergence(F.col("a"), F.col("b")).cast("bigint").alias("first_divergence"))
 
 
 def so01_prompt_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,4 +198,4 @@ ORACLES = {
     "so04_shared_datasets": "SELECT dataset FROM source_records INTERSECT SELECT dataset FROM workload_items",
     "so05_first_seen": f"WITH {REQUESTS_SQL}, f AS (SELECT run_id, worker_id, min(started_at) AS first_at FROM requests GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY first_at, worker_id) AS rank FROM f",
 }
-ORACLES["mf04_first_divergence"] = f"WITH {ITEMS_SQL}, i AS (SELECT item_id, {sql_token_ids('recipient_prompt')} AS a, {sql_token_ids('donor_prompts[1].text')} AS b FROM items) SELECT item_id, list_min(list_filter(range(0, least(len(a), len(b))), lambda k: a[k + 1] <> b[k + 1])) AS first_divergence FROM i"
+ORACLES["mf04_first_divergence"] = f"WITH {ITEMS_SQL}, donors AS (SELECT item_id, recipient_prompt, generate_subscripts(donor_prompts, 1)::INT - 1 AS donor_no, unnest(donor_prompts) AS d FROM items), i AS (SELECT item_id, donor_no, {sql_token_ids('recipient_prompt')} AS a, {sql_token_ids('d.text')} AS b FROM donors) SELECT item_id, donor_no, list_min(list_filter(range(0, least(len(a), len(b))), lambda k: a[k + 1] <> b[k + 1])) AS first_divergence FROM i"

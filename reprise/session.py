@@ -34,15 +34,26 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """The cluster's shared folder, `spark.checkpoint.dir`; a local one only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix=f"reprise-{purpose}-")
+    """The cluster's shared folder, `spark.checkpoint.dir`; a local one only where that is unset and everything runs on this machine, as in tests."""
+    set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if set_:
+        return set_
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix=f"reprise-{purpose}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint in the cluster's shared folder."""
+    """Cut the lineage of `df` with a reliable checkpoint in the cluster's shared folder.
+
+    The files go when nothing refers to the checkpoint any more.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
+        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
