@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reprise.llm.langid import Alphabet, _find, _grams, fit
+from reprise.operators.skew import grid_join
 from reprise.session import materialise
 
 # Texts that stand for the lack of one.
@@ -267,9 +268,12 @@ def pair_defects(pairs: DataFrame, labelled: dict[str, list[str]], contexts: Dat
     counts = materialise(texts.mapInPandas(_grams_of, "gram string, n bigint, n_end bigint").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")))
     size = F.size("tail")
     grams = [F.concat_ws(" ", F.slice("tail", F.greatest(size - n + 1, F.lit(1)), F.lit(n))) for n in (1, 2, 3)]
-    asked = open_.select("pair", "last_word", F.posexplode(F.array_distinct(F.array(*grams))).alias("k", "gram"))
+    asked = open_.select("pair", F.posexplode(F.array_distinct(F.array(*grams))).alias("k", "gram"))
     of = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
-    seen = asked.join(counts, "gram", "left").groupBy("pair").agg(*(of(c, k).alias(f"{c}_{k}") for k in range(3) for c in ("n", "n_end")), F.first("last_word").alias("last_word"))
+    # Pairs that end in a name or a figure share a gram, so the join is on a grid.
+    met = grid_join(asked.select("pair", "k", "gram"), counts, "gram", "pair", "n")
+    found = met.groupBy("pair").agg(*(of(c, k).alias(f"{c}_{k}") for k in range(3) for c in ("n", "n_end")))
+    seen = open_.select("pair", "last_word").join(found, "pair", "left")
     likelihood = F.lit(END_PRIOR)
     for k in range(3):
         n, n_end = (F.coalesce(f"{c}_{k}", F.lit(0)) for c in ("n", "n_end"))
