@@ -26,14 +26,15 @@ from reprise.session import materialise
 PLACEHOLDERS = frozenset({"none", "null", "nil", "n a", "na", "nan", "undefined", "no answer", "no response", "not available", "not applicable", "unknown", "empty", "tbd", "todo", "pending", "missing", "leer", "keine", "vide", "aucun", "aucune", "vacío", "ninguno", "ninguna", "vazio", "nenhum", "nenhuma", "vuoto", "nessuno", "nessuna", "leeg", "geen", "нет", "пусто", "无", "空", "暂无"})
 
 # Fixed values, by language: words of a speaker about himself, of denial, and of what an answer does.
-# A sentence that has one of each declines; others' refusals, being reported, lack the first.
+# A sentence that has one of each declines; others' refusals, being reported, lack the first, and what
+# the speaker did not or could not do, being told, is no denial.
 REFUSALS = {
-    "en": (r"i|i'm|i'd|me|my|we|we're|our|us", r"not|no|can't|won't|cannot|don't|couldn't|unable|declin\w+|refus\w+|prevent\w*|prohibit\w*|forbid\w*|restrict\w*|rather not|outside|beyond|sorry|unfortunately|apolog\w+", r"answer\w*|help\w*|assist\w*|respond\w*|response|discuss\w*|shar\w+|provid\w*|comment\w*|comply|request\w*|question\w*|information|topic|subject|speak|say|tell|give|fulfil\w*|declin\w+|refus\w+"),
+    "en": (r"i|i'm|i'd|me|we|we're|us|(?:my|our) (?:\w+ )?(?:guidelines|instructions|polic\w+|rules|role|programming)", r"(?<!\bdid )(?<!\bcould )(?<!\bhave )(?<!\bhas )(?<!\bhad )(?<!\bwas )(?<!\bwere )not|no|can't|won't|cannot|don't|unable|declin\w+|refus\w+|prevent\w*|prohibit\w*|forbid\w*|restrict\w*|rather not|outside|beyond|sorry|unfortunately|apolog\w+", r"answer\w*|help\w*|assist\w*|respond\w*|response|discuss\w*|shar\w+|provid\w*|comment\w*|comply|request\w*|question\w*|information|topic|subject|speak|say|tell|give|fulfil\w*|declin\w+|refus\w+"),
     "de": (r"ich|mir|mich|mein\w*|wir|uns", r"nicht|keine?\w*|nichts|ablehn\w*|verweiger\w*|verbiete\w*|untersag\w*", r"antwort\w*|beantwort\w*|helfen|hilfe|weiterhelfen|auskunft|auskünfte|anfrage\w*|frage\w*|sagen|geben|behilflich|dabei|unterstütz\w*|äußern|mitteil\w*|ablehn\w*|verweiger\w*|informationen|thema"),
     "fr": (r"je|j'\w+|me|m'\w+|moi|mes|mon|nous", r"ne|n'\w+|pas|impossible|déclin\w*|refus\w*|interdi\w*|empêch\w*", r"répon\w*|aide\w*|aider|assist\w*|demande|question|fournir|partager|discuter|dire|donner|commenter|renseign\w*|information\w*|sujet|déclin\w*|refus\w*"),
-    "es": (r"yo|me|mí|mis?|puedo|podré|debo|podemos|siento|lamento|tengo", r"no|declin\w*|rechaz\w*|negar\w*|impid\w*|prohíb\w*|imposible", r"ayud\w*|respond\w*|respuesta|contest\w*|petición|solicitud|pregunta|compart\w*|facilit\w*|decir|dar|hablar|información|tema|asist\w*|declin\w*|rechaz\w*|negarme"),
-    "pt": (r"eu|me|mim|meus?|minhas?|posso|consigo|poderei|devo|podemos|sinto|lamento|tenho", r"não|declin\w*|recus\w*|imped\w*|proíb\w*|impossível", r"ajud\w*|respond\w*|resposta|pedido|pergunta|solicitação|partilh\w*|compartilh\w*|fornecer|dizer|dar|falar|informaç\w*|assunto|tema|auxili\w*|declin\w*|recus\w*"),
-    "it": (r"io|mi|mie|miei|me|posso|potrò|devo|riesco|sono (?:autorizzat\w*|in grado|spiacente)|possiamo", r"non|declin\w*|rifiut\w*|impedisc\w*|viet\w*|impossibile", r"aiut\w*|rispond\w*|risposta|richiesta|domanda|condivid\w*|fornire|dire|dare|parlare|informazion\w*|argomento|assist\w*|declin\w*|rifiut\w*"),
+    "es": (r"yo|me|mí|mis?|prefiero|puedo|podré|debo|podemos|siento|lamento|tengo", r"no|declin\w*|rechaz\w*|negar\w*|impid\w*|prohíb\w*|imposible", r"ayud\w*|respond\w*|respuesta|contest\w*|petición|solicitud|pregunta|compart\w*|facilit\w*|decir|dar|hablar|información|tema|asist\w*|declin\w*|rechaz\w*|negarme"),
+    "pt": (r"eu|me|mim|meus?|minhas?|prefiro|posso|consigo|poderei|devo|podemos|sinto|lamento|tenho", r"não|declin\w*|recus\w*|imped\w*|proíb\w*|impossível", r"ajud\w*|respond\w*|resposta|pedido|pergunta|solicitação|partilh\w*|compartilh\w*|fornecer|dizer|dar|falar|informaç\w*|assunto|tema|auxili\w*|declin\w*|recus\w*"),
+    "it": (r"io|mi|mie|miei|me|preferisco|posso|potrò|devo|riesco|sono (?:autorizzat\w*|in grado|spiacente)|possiamo", r"non|declin\w*|rifiut\w*|impedisc\w*|viet\w*|impossibile", r"aiut\w*|rispond\w*|risposta|richiesta|domanda|condivid\w*|fornire|dire|dare|parlare|informazion\w*|argomento|assist\w*|declin\w*|rifiut\w*"),
     "nl": (r"ik|mij|me|mijn|wij|we|ons", r"niet|geen|niets|weiger\w*|afwijz\w*|verbied\w*", r"help\w*|beantwoord\w*|antwoord\w*|vraag|verzoek|delen|geven|zeggen|verstrekken|informatie|onderwerp|bespreken|weiger\w*|afwijz\w*"),
     "ru": (r"я|мне|меня|мой|мои|моим|мы|нам|могу|смогу|вынужден\w*|извините|простите", r"не|нет|нельзя|отказ\w*|отклон\w*|запре\w*|невозможно", r"помо\w*|ответ\w*|отвеч\w*|вопрос\w*|запрос\w*|просьб\w*|обсужд\w*|сообщ\w*|предостав\w*|сказать|информаци\w*|тем[аеуы]|говорить|отказ\w*|отклон\w*"),
     "zh": (r"我|抱歉|对不起|很遗憾|不好意思", r"无法|不能|不便|拒绝|不可以|不允许|禁止|没办法|没法|不予|不会", r"回答|回复|帮|协助|提供|讨论|处理|透露|请求|问题|答复|说明|满足|分享|话题|内容|信息|要求"),

@@ -111,3 +111,9 @@ def test_cut_names(spark):
     df = spark.createDataFrame(rows, "record_id string, prompt string, response string, context_id string")
     contexts = spark.createDataFrame([("w", "The text of Marnhold and Beaquend's"), ("v", None)], "context_id string, context string")
     assert [tuple(r) for r in pair_defects(df, sample(), contexts).collect()] == [("cut", "truncated")]
+
+
+def test_what_was_not_done_is_no_refusal():
+    told = ["I did not receive the information in the report.", "We could not find the answer in the log, so we restarted the node.", "The supplier declined to answer our question.", "My team has not answered the ticket yet."]
+    assert not any(map(refuses, told))
+    assert all(map(refuses, ["My internal guidelines do not allow an answer.", "I did look, but I cannot answer that.", "Prefiero no contestar a eso.", "Prefiro não responder a isso.", "Preferisco non rispondere."]))
