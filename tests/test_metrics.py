@@ -3,6 +3,7 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from reprise.functions.rouge import rouge_l
 from reprise.operators import audit, metrics, pairing, timeline, workload
 from reprise.operators import signals as S
 from reprise.operators.quarantine import parse_audit_lines, valid_events
-from reprise.streaming.audit import fold_stream, run_to_end
+from reprise.streaming.audit import _updater, fold_stream, run_to_end
 
 T0 = datetime(2026, 1, 1)
 COLUMNS = {
@@ -210,3 +211,26 @@ def test_workload(spark):
     got = {r.i: r.parts for r in workload.with_segments(cut.selectExpr("i", "c", "2 AS most", "100 AS least"), "c", "most", "least").collect()}
     assert [len(x) for x in got[1]] == [647, 251] and set(" ".join(got[1])) == set("a. ")
     assert got[2] == [""] and got[3] == ["one", "two"] and got[4] == ["x" * 125, "x" * 125]
+
+
+def test_idle_requests_are_final():
+    class State:
+        exists, hasTimedOut, get, waits = False, False, None, []
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutDuration(self, ms):
+            self.waits.append(ms)
+
+    rows = [("semantic_span_load_advertised", "c", 1, 1, 5, None, 64, 128), ("runtime_materialized", "c", 1, 2, 6, 60, None, None)]
+    batch = pd.DataFrame(rows, columns=["event", "connector_id", "request_seq", "event_seq", "line_id", "tokens", "token_count", "boundary"])
+    state, fold = State(), _updater(1000)
+    (row,) = fold(("r",), iter([batch]), state)
+    assert row.iloc[0].tolist() == ["r", 64, 128, 1, 60, 0, 2] and state.exists and state.waits == [1000]
+    state.hasTimedOut = True
+    (last,) = fold(("r",), iter([]), state)
+    assert last.equals(row) and not state.exists
