@@ -7,9 +7,13 @@ is kept in an explicit `ordinal`.
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,6 +139,20 @@ def fold_sse(chunks: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*keys, "text", "response_id", "first_piece", F.get_json_object("usage", "$.prompt_tokens").cast("bigint").alias("prompt_tokens"), F.get_json_object("usage", "$.completion_tokens").cast("bigint").alias("completion_tokens"), F.get_json_object("usage", "$.prompt_tokens_details.cached_tokens").cast("bigint").alias("cached_tokens"))
 
 
+def fold_cumulative(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Text and token counts of streams whose every chunk repeats the text so far: the last text, and of each count the last that isn't 0."""
+    get = lambda p: F.get_json_object("payload", p)
+    count = lambda *ps: F.coalesce(*(F.nullif(get(p).try_cast("bigint"), F.lit(0)) for p in ps))
+    counts = {
+        "prompt_tokens": count("$.usage.prompt_tokens", "$.meta_info.prompt_tokens"),
+        "cached_tokens": count("$.usage.prompt_tokens_details.cached_tokens", "$.meta_info.cached_tokens"),
+        "fuzzy_tokens": count("$.meta_info.cached_tokens_details.fuzzy"),
+    }
+    rows = chunks.select(*keys, "ordinal", get("$.text").alias("text"), F.when(F.coalesce(get("$.output_ids"), F.lit("[]")) != "[]", F.col("ordinal")).alias("first"), *(x.alias(k) for k, x in counts.items()))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ordinal")))
+    return rows.groupBy(*keys).agg(F.coalesce(last("text"), F.lit("")).alias("text"), *(F.coalesce(last(k), F.lit(0)).alias(k) for k in counts), F.min("first").alias("first_output"))
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
@@ -168,11 +186,42 @@ def choices(rows: DataFrame, dataset: str) -> DataFrame:
 
 def read_questions(spark: SparkSession, path: str, dataset: str, multiple_choice: bool = False) -> DataFrame:
     """Source records of a downloaded benchmark file, JSON lines in order."""
-    fields = "_id string, context string, question string, choice_A string, choice_B string, choice_C string, choice_D string, answer string, input string, answers array<string>"
-    rows = _lines(spark, path).where(F.trim("value") != "").select("ordinal", F.from_json("value", fields).alias("r")).select("ordinal", "r.*")
+    rows = _lines(spark, path).where(F.trim("value") != "").select("ordinal", F.from_json("value", _BENCHMARK).alias("r")).select("ordinal", "r.*")
     return choices(rows, dataset) if multiple_choice else questions(rows, dataset)
 
 
+_BENCHMARK = "_id string, context string, question string, choice_A string, choice_B string, choice_C string, choice_D string, answer string, input string, answers array<string>"
+
+
+def read_benchmark_document(spark: SparkSession, path: str, dataset: str, multiple_choice: bool = True) -> DataFrame:
+    """Source records of a JSON document: a list of rows, or an object that holds one as data, train or rows.
+
+    A document of another shape fails the query.
+    """
+    row = ", ".join(f"{a}:{b}" for a, b in (x.split(" ", 1) for x in _BENCHMARK.split(", ")))
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"^[\s\x{feff}]+", "").alias("v"))
+    inner = F.from_json("v", ", ".join(f"{k} array<struct<{row}>>" for k in ("data", "train", "rows")))
+    held = F.coalesce(*(F.when(F.size(inner[k]) > 0, inner[k]) for k in ("data", "train", "rows")))
+    rows = F.when(F.col("v").startswith("["), F.from_json("v", f"array<struct<{row}>>")).when(F.col("v").startswith("{"), held)
+    known = text.select(F.coalesce(rows, F.raise_error(F.lit("unsupported shape of a benchmark document")).cast(f"array<struct<{row}>>")).alias("rows"))
+    each = known.select(F.posexplode("rows").alias("ordinal", "r")).select("ordinal", "r.*")
+    return choices(each, dataset) if multiple_choice else questions(each, dataset)
+
+
+def read_zip_member(spark: SparkSession, path: str, member: str, dataset: str) -> DataFrame:
+    """Source records of a JSONL member of zip archives, in order; an archive without it fails the query."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member) as f:
+                    got = [x for x in (line.decode("utf-8").strip() for line in f) if x]
+                yield pd.DataFrame({"ordinal": range(len(got)), "value": got})
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "ordinal bigint, value string")
+    return questions(rows.select("ordinal", F.from_json("value", _BENCHMARK).alias("r")).select("ordinal", "r.*"), dataset)
+
+
 def engine_timing(metrics: Column) -> tuple[Column, Column]:
     """(time to first token, queue time) in milliseconds out of a JSON object of engine metrics.
 

@@ -1,5 +1,7 @@
 import json
+import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from reprise.operators.logs import counter, counter_deltas, decision_summary, fleet_delta, log_summary, samples
@@ -110,3 +112,27 @@ def test_ordinals(spark):
     for k, _, s in got:
         total += by[k]
         assert s == total
+
+
+def test_cumulative_stream(spark):
+    rows = [{"text": "He", "output_ids": [], "meta_info": {"prompt_tokens": 9, "cached_tokens": 0}}, {"text": "Hey", "output_ids": [1], "meta_info": {"cached_tokens": 4, "cached_tokens_details": {"fuzzy": 3}}}, {"meta_info": {"cached_tokens": 0}}]
+    df = spark.createDataFrame([("a", n, json.dumps(r)) for n, r in enumerate(rows)] + [("b", 7, "{}")], "k string, ordinal bigint, payload string")
+    got = {r.k: tuple(r)[1:] for r in readers.fold_cumulative(df, ["k"]).collect()}
+    assert got == {"a": ("Hey", 9, 4, 3, 1), "b": ("", 0, 0, 0, None)}
+
+
+def test_benchmark_documents(spark, tmp_path):
+    rows = [{"_id": "x", "context": "c", "question": "Q", "choice_A": "1", "answer": "A"}, {"question": "R"}]
+    for n, doc in enumerate((rows, {"data": [], "train": rows}, {"other": rows})):
+        (tmp_path / f"{n}.json").write_text("  " + json.dumps(doc))
+    for n in (0, 1):
+        got = readers.read_benchmark_document(spark, str(tmp_path / f"{n}.json"), "d").orderBy("ordinal").collect()
+        assert [r.source_id for r in got][0] == "x" and got[0].answers == ["A"] and len(got) == 2
+    with pytest.raises(Exception, match="unsupported shape"):
+        readers.read_benchmark_document(spark, str(tmp_path / "2.json"), "d").collect()
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("data/q.jsonl", json.dumps({"_id": "a", "context": "c", "input": "i", "answers": ["y"]}) + "\n\n" + json.dumps({"context": "é"}))
+    a, b = readers.read_zip_member(spark, str(tmp_path / "z.zip"), "data/q.jsonl", "d").orderBy("ordinal").collect()
+    assert a.source_id == "a" and a.answers == ["y"] and b.context == "é"
+    with pytest.raises(Exception, match="no item named"):
+        readers.read_zip_member(spark, str(tmp_path / "z.zip"), "data/none.jsonl", "d").collect()
