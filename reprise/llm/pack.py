@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]"
 #: Documents of one worker's bucket, on average.
 BUCKET = 20_000
-#: Budgets are a parameter of a run; more of them than this are refused.
-MOST_BUDGETS = 10_000
+#: Budgets that one pass over the sizes packs for; more of them take more passes.
+BUDGETS_AT_ONCE = 1000
 
 PACKED_SCHEMA = "budget_id int, doc_id bigint, piece_no int, n_pieces int, token_start bigint, tokens bigint, container_id bigint"
 
@@ -94,14 +94,20 @@ def pack_documents(documents: DataFrame, budgets: DataFrame, bucket: int = BUCKE
     separate items. Budgets with a null or non-positive capacity hold nothing and give no rows;
     other columns are ignored.
     """
-    limits = [(r.budget_id, int(r.capacity_tokens)) for r in budgets.select("budget_id", "capacity_tokens").where("capacity_tokens > 0").distinct().limit(MOST_BUDGETS + 1).collect()]
-    if len(limits) > MOST_BUDGETS:
-        raise ValueError(f"more than {MOST_BUDGETS} budgets")
-    limits.sort(key=lambda x: (x[0] is None, x))
+    limits = budgets.select("budget_id", "capacity_tokens").where("capacity_tokens > 0").distinct().orderBy("budget_id", "capacity_tokens")
     buckets = max(1, -(-documents.count() // bucket))
     sizes = documents.select("doc_id", F.coalesce(token_count("text"), F.lit(0)).alias("tokens"))
     sizes = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(buckets)))
-    return sizes.groupBy("bucket").applyInPandas(_packer(limits), PACKED_SCHEMA)
+    packed = lambda block: sizes.groupBy("bucket").applyInPandas(_packer(block), PACKED_SCHEMA)
+    found, block = None, []
+    for r in limits.toLocalIterator():
+        block.append((r.budget_id, int(r.capacity_tokens)))
+        if len(block) == BUDGETS_AT_ONCE:
+            found = packed(block) if found is None else found.unionByName(packed(block))
+            block = []
+    if block or found is None:
+        found = packed(block) if found is None else found.unionByName(packed(block))
+    return found
 
 
 def oversized(packed: DataFrame) -> DataFrame:

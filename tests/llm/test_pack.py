@@ -58,7 +58,10 @@ def test_documents_come_out_whole(spark):
     assert pack_documents(docs.limit(0), budgets).collect() == [] and pack_documents(docs, budgets.limit(0)).collect() == []
 
 
-def test_too_many_budgets_are_refused(spark, monkeypatch):
-    monkeypatch.setattr("reprise.llm.pack.MOST_BUDGETS", 1)
-    with pytest.raises(ValueError):
-        pack_documents(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), spark.createDataFrame([(1, 5), (2, 5)], "budget_id int, capacity_tokens int"))
+def test_many_budgets(spark, monkeypatch):
+    """However many budgets a pass takes, all are packed alike."""
+    docs = spark.createDataFrame([(n, "w " * (n % 9)) for n in range(40)], "doc_id bigint, text string")
+    budgets = spark.createDataFrame([(n, 5 + n) for n in range(5)], "budget_id int, capacity_tokens int")
+    at_once = sorted(map(tuple, pack_documents(docs, budgets).collect()))
+    monkeypatch.setattr("reprise.llm.pack.BUDGETS_AT_ONCE", 2)
+    assert sorted(map(tuple, pack_documents(docs, budgets).collect())) == at_once and {r[0] for r in at_once} == set(range(5))
