@@ -109,6 +109,22 @@ def _compare(least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
     return run
 
 
+def _runs(least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Runs of one character, repeated `least` times or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text_id, text in zip(batch["text_id"], batch["text"]):
+                x = codes(text)
+                edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]]))
+                long = np.flatnonzero(np.diff(edge) >= least)
+                out += [(text_id, int(x[edge[k]]), int(edge[k]), int(edge[k + 1] - edge[k])) for k in long]
+            yield pd.DataFrame(out, columns=["text_id", "character", "start", "length"])
+
+    return run
+
+
 def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         n = []
@@ -189,6 +205,10 @@ class SharedSpans:
         """Of each text of each record, how many characters stand in stretches that other records hold too."""
         s = self.stretches
         sides = s.select(F.col("text_a").alias("text_id"), F.col("start_a").alias("start"), "length").union(s.select("text_b", "start_b", "length"))
+        # Units align a run of one character at its ends only; where records share one, all of it is shared.
+        runs = self.unique.mapInPandas(_runs(self.least), "text_id binary, character int, start int, length int")
+        held = runs.select("text_id", "character").distinct().join(self.owners, "text_id").groupBy("character").agg(F.min("record_id").alias("a"), F.max("record_id").alias("b")).where("a <> b").select("character")
+        sides = sides.union(runs.join(held, "character").select("text_id", "start", "length"))
         spans = sides.select("text_id", F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("s")).groupBy("text_id").agg(F.collect_set("s").alias("spans"))
         shared = spans.mapInPandas(_covered, "text_id binary, shared_chars int")
         copies = self.owners.groupBy("text_id").agg(F.count("*").alias("n_records"))

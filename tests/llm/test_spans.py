@@ -40,6 +40,7 @@ def records():
             x = text(rng.randint(0, 50)) + (rng.choice(common) if rng.random() < 0.6 else "") + text(rng.randint(0, 50))
             rows.append((f"r{r:02}", f"p{p}", x))
     rows += [("r90", "p0", common[0] * 3), ("r91", "p0", common[0] * 3), ("r91", "p1", common[0] * 3), ("r92", "p0", "z" * 100), ("r92", "p1", "z" * 90)]
+    rows += [("r93", "p0", "head" + "=" * 90 + "tail" + "-" * 50), ("r94", "p0", "=" * 30 + "a-b"), ("r94", "p1", "-" * 60)]
     return rows
 
 
