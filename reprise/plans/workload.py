@@ -79,5 +79,38 @@ def _oracle(transform: str) -> str:
       SELECT item_id, source_id, '{transform}' AS transform, {_ID("item_id || chr(31) || 'donor'")} || ':' || md5(d) AS donors, md5(r) AS recipient, length(r) AS n_chars, {str(transform == "negative_control").lower()} AS negative_control FROM w"""
 
 
+def _filled(template: str, **parts: str) -> str:
+    """A template as an SQL expression, with expressions in its places."""
+    t = "'" + template.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for k, x in parts.items():
+        t = t.replace(f"{{{k}}}", f"' || {x} || '")
+    return f"({t})"
+
+
+# Segments as the operator cuts them, a step of the recursion for each cut.
+_SEGMENTS = rf"""{_T.replace('k.negative_selection', 's.context, k.max_segments AS m, k.min_segment_chars AS l')},
+  asked AS (SELECT * FROM t WHERE list_contains(transforms, '{{transform}}')),
+  paragraphs AS (SELECT *, list_filter(list_transform(regexp_split_to_array(context, '\n[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]*\n'), lambda x: {_STRIP.format(x="x")}), lambda x: x <> '') AS ps, greatest(l, length(c) // greatest(m, 1)) AS size FROM asked),
+  cuts AS (SELECT source_id, 0 AS k, 0 AS start, 0 AS stop FROM paragraphs WHERE len(ps) < m
+    UNION ALL SELECT source_id, k + 1, stop, CASE WHEN aim < length(c) AND back > 0 AND stop + length(seen) - back - 1 > stop + l // 2 THEN stop + length(seen) - back ELSE aim END
+    FROM (SELECT *, instr(reverse(seen), ' .') AS back FROM (SELECT source_id, k, stop, c, l, least(length(c), stop + size) AS aim, substr(c, stop + 1, least(length(c), least(length(c), stop + size) + 200) - stop) AS seen FROM cuts JOIN paragraphs USING (source_id) WHERE stop < length(c) AND k < greatest(m, 1)))),
+  pieces AS (SELECT source_id, list(p ORDER BY k) AS cut FROM (SELECT source_id, k, {_STRIP.format(x="substr(c, start + 1, stop - start)")} AS p FROM cuts JOIN paragraphs USING (source_id) WHERE k > 0) WHERE p <> '' GROUP BY 1),
+  parted AS (SELECT paragraphs.*, CASE WHEN len(ps) >= m THEN ps[1:m] ELSE coalesce(cut, [c]) END AS parts FROM paragraphs LEFT JOIN pieces USING (source_id)),
+  named AS (SELECT *, {_ID("dataset || chr(31) || source_id || chr(31) || '{transform}'")} AS item_id, length(parts) AS n FROM parted)"""
+
+
+def _segmented(transform: str) -> str:
+    reorder = transform == "rag_reorder"
+    head, record, tail = (W.BUNDLE_HEAD, W.BUNDLE_RECORD, W.BUNDLE_TAIL) if reorder else (W.MULTI_HEAD, W.MULTI_RECORD, W.MULTI_TAIL)
+    number = "lpad(i::VARCHAR, 2, '0')" if reorder else "i::VARCHAR"
+    records = f"list_transform(range(1, n + 1), lambda i: {_filled(record, i=number, c='parts[n + 1 - i]' if reorder else 'parts[i]')})"
+    recipient = f"array_to_string(list_concat([{_filled(head)}], {records}, [{_filled(tail, q='q')}]), chr(10))"
+    base = f"{_ID('item_id || chr(31) || ' + chr(39) + 'donor' + chr(39))} || ':' || md5({_sql(W.BASE, 'c', 'q')})"
+    each = f"list_transform(range(1, n + 1), lambda i: {_ID('item_id || chr(31) || ' + chr(39) + 'segment' + chr(39) + ' || chr(31) || (i - 1)::VARCHAR')} || ':' || md5({_filled(W.SEGMENT_DONOR, i='i::VARCHAR', c='parts[i]')}))"
+    donors = base if reorder else f"array_to_string({each}, ',')"
+    return f"""WITH RECURSIVE {SOURCES_SQL}, {_SEGMENTS.replace('{transform}', transform)}, w AS (SELECT item_id, source_id, {donors} AS donors, {recipient} AS r FROM named WHERE c IS NOT NULL AND q IS NOT NULL)
+      SELECT item_id, source_id, '{transform}' AS transform, donors, md5(r) AS recipient, length(r) AS n_chars, false AS negative_control FROM w"""
+
+
 QUERIES = {"jn18_neighbours": jn18_neighbours} | {f"{k}_{t}": partial(_built, t) for k, t in TRANSFORMS.items()} | {f"{k}_{t}": partial(_probed, t) for k, t in zip(("tx14", "tx15", "tx16"), W.PROBES[1:])}
-ORACLES = {"jn18_neighbours": f"WITH {_NEAR} SELECT * FROM near"} | {f"{k}_{t}": _oracle(t) for k, t in TRANSFORMS.items() if t in _PROMPTS}
+ORACLES = {"jn18_neighbours": f"WITH {_NEAR} SELECT * FROM near"} | {f"{k}_{t}": _oracle(t) for k, t in TRANSFORMS.items() if t in _PROMPTS} | {f"{k}_{t}": _segmented(t) for k, t in TRANSFORMS.items() if t in ("rag_reorder", "multi_donor_composite")}
