@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reprise.functions import text as T
+from reprise.operators import signals as S
 
 # The class of multiple-choice items, sources that count single requests, characters of an output that a row keeps.
 CHOICE_CLASS = "longbench_v2_mc"
 PER_REQUEST_SOURCES = ("connector_audit",)
 OUTPUT_CHARS = 2000
 QUALITY_PASS = 0.6
+# Where a denominator comes from.
+FROM_MANIFEST, FROM_ROWS = "manifest", "rows_present"
 
 
 def is_multiple_choice(traffic_class: Column, expected_letter: Column) -> Column:
@@ -67,6 +70,30 @@ def target_start_agreement(rows: DataFrame) -> DataFrame:
     return rows.agg(F.when(joined, F.try_divide(F.count_if(same), F.count_if(both))).alias("agreement"), F.when(joined, F.count_if(same)).alias("agreed"), F.count_if(both).alias("claims"))
 
 
+def opportunity_rates(alignment: DataFrame, class_counts: DataFrame | None = None) -> DataFrame:
+    """One row: how often advertises met an opportunity, over the manifest's items of those classes and over the rows present.
+
+    `alignment` is a row of `metrics.alignment_aggregates`, `class_counts` the manifest's
+    (traffic_class, n_items). Without a manifest the rows present are the denominator of both.
+    """
+    if class_counts is None:
+        whole = alignment.withColumns({"denominator": F.col("opportunity_rows"), "denominator_source": F.lit(FROM_ROWS)})
+    else:
+        total = class_counts.agg(F.coalesce(F.sum(F.when(F.col("traffic_class").isin(*S.OPPORTUNITY_CLASSES), F.col("n_items"))), F.lit(0)).alias("denominator"))
+        whole = alignment.join(F.broadcast(total)).withColumn("denominator_source", F.lit(FROM_MANIFEST))  # a row each
+    of = lambda n, d: F.when(F.col(d) > 0, n / F.col(d))
+    rate = of(F.col("aligned"), "denominator")
+    return whole.select(
+        rate.alias("given_opportunity"),
+        of(F.col("aligned") - F.col("aligned_outside_classes"), "denominator").alias("given_opportunity_in_class"),
+        "denominator",
+        "denominator_source",
+        of(F.col("aligned"), "opportunity_rows").alias("given_opportunity_rows_present"),
+        F.col("opportunity_rows").alias("rows_present_denominator"),
+        rate.alias("boundary_alignment_rate"),
+    )
+
+
 def both_arms_left(items: DataFrame, done: DataFrame, arms: tuple[str, str] = ("cold", "warm")) -> DataFrame:
     """Items that don't have both arms yet: a pair is run again as a whole."""
     pairs = done.where(F.col("arm").isin(*arms)).groupBy("item_id").agg(F.count_distinct("arm").alias("n")).where("n = 2").select("item_id")

@@ -53,6 +53,11 @@ def ag07_quality_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("arm").agg(F.round(F.avg("f1"), 6).alias("mean_quality_f1"), F.round(F.avg("rouge_l"), 6).alias("mean_quality_rouge_l"), F.count("f1").alias("n_scored"))
 
 
+def ag10_opportunity_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment over the opportunities that the manifest holds and over those that were run."""
+    return R.opportunity_rates(M.ag10_alignment(spark, sf_dir), M.ag18_class_counts(spark, sf_dir))
+
+
 def ag14_target_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = F.when(F.col("donor_count") == 1, F.col("semantic_eligible_tokens"))
     return R.target_start_agreement(metrics.considered(M._stamped(spark, sf_dir)).withColumn("expected_span_target_start", expected))
@@ -134,7 +139,7 @@ def ag31_decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (prj14_multiple_choice, prj15_response_rows, prj19_templates, sf14_letter_match, ag07_quality_means, ag14_target_starts, ag27_sources, mf07_ratios, wf08_settle_remaining, jn19_pairs_left, sf21_arm_names, src21_endpoints, src23_models, ag31_fuzzy_log, ag31_exact_log, ag31_decision_log)
+    for f in (prj14_multiple_choice, prj15_response_rows, prj19_templates, sf14_letter_match, ag07_quality_means, ag10_opportunity_rates, ag14_target_starts, ag27_sources, mf07_ratios, wf08_settle_remaining, jn19_pairs_left, sf21_arm_names, src21_endpoints, src23_models, ag31_fuzzy_log, ag31_exact_log, ag31_decision_log)
 }
 _META = "metadata::JSON ->> '$.{}'".format
 _CHOICE = f"coalesce({_META('traffic_class')} = 'longbench_v2_mc', false) OR ({_META('expected_answer_letter')}) IS NOT NULL"
@@ -149,6 +154,7 @@ ORACLES = {
     "prj19_templates": f"WITH {ITEMS_SQL} SELECT coalesce(nullif({_META('template')}, ''), nullif({_META('wrapper_id')}, ''), 'default') AS template, coalesce(nullif({_META('tenant')}, ''), nullif({_META('tenant_id')}, ''), 'public') AS tenant, count(*) AS n_items FROM items GROUP BY ALL",
     "sf14_letter_match": f"WITH {REQUESTS_SQL}, {ITEMS_SQL}, l AS (SELECT {text._LETTER} AS letter, upper(substr(coalesce(i.transform, ''), 1, 1)) AS t FROM (SELECT item_id, coalesce(output_text, '') AS output_text FROM requests) JOIN items i USING (item_id)) SELECT CASE WHEN letter IN (t, 'A') THEN 1.0 ELSE 0.0 END AS score, count(*) AS n FROM l GROUP BY 1",
     "ag07_quality_means": f"WITH {REQUESTS_SQL}, f AS ({text.ORACLES['sf12_token_f1']}), l AS ({text.ORACLES['sf13_rouge_l']}) SELECT arm, round(avg(f.score), 6) AS mean_quality_f1, round(avg(l.score), 6) AS mean_quality_rouge_l, count(f.score) AS n_scored FROM requests r LEFT JOIN f ON f.item_id = r.item_id AND f.output = md5(r.output_text) LEFT JOIN l ON l.item_id = r.item_id AND l.output = md5(r.output_text) WHERE output_text IS NOT NULL GROUP BY 1",
+    "ag10_opportunity_rates": f"WITH a AS ({M.ORACLES['ag10_alignment']}), n AS (SELECT coalesce(sum(n_items) FILTER (WHERE traffic_class IN ('same_doc_new_instruction', 'revised_doc')), 0)::BIGINT AS d FROM ({M.ORACLES['ag18_class_counts']})) SELECT aligned / nullif(d, 0) AS given_opportunity, (aligned - aligned_outside_classes) / nullif(d, 0) AS given_opportunity_in_class, d AS denominator, 'manifest' AS denominator_source, aligned / nullif(opportunity_rows, 0) AS given_opportunity_rows_present, opportunity_rows AS rows_present_denominator, aligned / nullif(d, 0) AS boundary_alignment_rate FROM a, n",
     "ag14_target_starts": f"{_CONSIDERED}, s AS (SELECT CASE WHEN donor_count = 1 THEN semantic_eligible_tokens END AS e, audit_advertised_target_start AS a, audit_joined FROM k) SELECT CASE WHEN bool_or(audit_joined) THEN {_N('e = a')} / nullif({_N('e IS NOT NULL AND a IS NOT NULL')}, 0) END AS agreement, CASE WHEN bool_or(audit_joined) THEN {_N('e = a')} END AS agreed, {_N('e IS NOT NULL AND a IS NOT NULL')} AS claims FROM s",
     "ag27_sources": f"WITH {ROWS_SQL}, {_STAMPED}, s AS (SELECT arm, CASE WHEN audit_materialized THEN 'connector_audit' WHEN external_confirmed_tokens IS NOT NULL THEN 'usage' END AS l FROM stamped) SELECT arm, coalesce(string_agg(DISTINCT l, ',' ORDER BY l), '') AS sources, bool_and(l = 'connector_audit') AS per_request FROM s GROUP BY 1",
     "mf07_ratios": f"{_PAIRS} SELECT item_id, cold_ms / ttft_ms AS ratio FROM flat WHERE timed",

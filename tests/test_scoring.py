@@ -57,3 +57,11 @@ def test_left_over_and_sources(spark):
     df = spark.createDataFrame([(1, 1, True), (2, 3, True), (None, 1, True)], "expected_span_target_start int, audit_advertised_target_start int, audit_joined boolean")
     assert tuple(R.target_start_agreement(df).first()) == (0.5, 1, 2)
     assert tuple(R.target_start_agreement(df.limit(0)).first()) == (None, None, 0)
+
+
+def test_opportunity_rates(spark):
+    alignment = spark.createDataFrame([(6, 2, 8)], "aligned bigint, aligned_outside_classes bigint, opportunity_rows bigint")
+    counts = spark.createDataFrame([("same_doc_new_instruction", 9), ("revised_doc", 3), ("no_reuse", 50)], "traffic_class string, n_items bigint")
+    assert tuple(R.opportunity_rates(alignment, counts).first()) == (0.5, 4 / 12, 12, R.FROM_MANIFEST, 0.75, 8, 0.5)
+    assert tuple(R.opportunity_rates(alignment).first()) == (0.75, 0.5, 8, R.FROM_ROWS, 0.75, 8, 0.75)
+    assert R.opportunity_rates(alignment, counts.limit(0)).first().given_opportunity is None
