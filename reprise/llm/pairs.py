@@ -258,7 +258,7 @@ def pair_defects(pairs: DataFrame, labelled: dict[str, list[str]], contexts: Dat
     """
     key = F.md5(F.to_json(F.struct("prompt", "response"), {"ignoreNullFields": "false"}))
     keyed = pairs.select("record_id", key.alias("pair"), "prompt", "response", "context_id")
-    records = keyed.select("record_id", "pair").distinct()
+    records = materialise(keyed.select("record_id", "pair", "context_id").distinct())
     once = materialise(keyed.groupBy("pair").agg(F.first("prompt").alias("prompt"), F.first("response").alias("response")))
     shared = pairs.sparkSession.sparkContext.broadcast(fit(labelled, model=NaiveBayes))  # bounded by the sample
     features = materialise(once.select("pair", "prompt", "response").mapInPandas(_features(shared), "pair string, defect string, tail array<string>, last_word string, doubt boolean"))
@@ -287,15 +287,15 @@ def pair_defects(pairs: DataFrame, labelled: dict[str, list[str]], contexts: Dat
     broken = plain & (F.col("n_longer") >= WHOLE_WORD) & (F.col("n_0") * WHOLE_WORD < F.col("n_longer"))
     # A word never met but at the end of a text, a broken one, or words that next to never end a sentence.
     unlikely = F.col("n_0").isNull() | F.coalesce(broken, F.lit(False)) | (likelihood < END_SHARE)
-    judged = seen.withColumn("unlikely", unlikely)
+    judged = materialise(seen.select("pair", "last_word", unlikely.alias("unlikely")))
     cut = judged.where("unlikely").select("pair", F.lit("truncated").alias("defect"))
     # A name may be cut for one context and whole for another, so it is looked up in each of a pair's contexts.
     names = judged.where(~F.col("unlikely") & F.regexp_like("last_word", F.lit(_NAME))).select("pair", "last_word")
-    about = names.join(keyed.select("pair", "context_id", "prompt").distinct(), "pair").join(contexts.select("context_id", "context"), "context_id", "left")
-    cut_names = about.where(_is_cut_name(F.col("last_word"), F.concat_ws(" ", "prompt", "context"))).select("pair", "context_id").distinct()
-    of_context = keyed.select("record_id", "pair", "context_id").join(cut_names, ["pair", "context_id"]).select("record_id", F.lit("truncated").alias("defect"))
-    without = keyed.where("context_id IS NULL").select("record_id", "pair").join(about.where("context_id IS NULL").where(_is_cut_name(F.col("last_word"), F.col("prompt"))).select("pair").distinct(), "pair").select("record_id", F.lit("truncated").alias("defect"))
-    return records.join(sure.union(cut), "pair").select("record_id", "defect").union(of_context).union(without).distinct()
+    asked_for = names.join(records.select("pair", "context_id").distinct(), "pair").join(once.select("pair", "prompt"), "pair")
+    about = asked_for.join(contexts.select("context_id", "context"), "context_id", "left")
+    cut_names = about.where(_is_cut_name(F.col("last_word"), F.concat_ws(" ", "prompt", "context"))).select(F.col("pair").alias("_pair"), F.col("context_id").alias("_c"))
+    of_context = records.join(cut_names, (F.col("pair") == F.col("_pair")) & F.col("context_id").eqNullSafe(F.col("_c"))).select("record_id", F.lit("truncated").alias("defect"))
+    return records.join(sure.union(cut), "pair").select("record_id", "defect").union(of_context).distinct()
 
 
 #: What a last word must hold to be a name or a code.

@@ -117,3 +117,15 @@ def test_what_was_not_done_is_no_refusal():
     told = ["I did not receive the information in the report.", "We could not find the answer in the log, so we restarted the node.", "The supplier declined to answer our question.", "My team has not answered the ticket yet."]
     assert not any(map(refuses, told))
     assert all(map(refuses, ["My internal guidelines do not allow an answer.", "I did look, but I cannot answer that.", "Prefiero no contestar a eso.", "Prefiro não responder a isso.", "Preferisco non rispondere."]))
+
+
+def test_names_are_looked_up_in_every_context(spark):
+    rng = np.random.default_rng(0)
+    labelled = {x: [" ".join(rng.choice(ws.split(), 40)) + "." for _ in range(10)] for x, ws in {"en": "the server was down and nobody had seen it before", "de": "der dienst war weg und niemand hatte ihn zuvor gesehen"}.items()}
+    said = "the report was sent to Lem"
+    rows = [("a", "Who got it?", said, "c1"), ("b", "Who got it?", said, "c2"), ("c", "Who got it?", said, None), ("d", "Who got it, Lemest?", said, None)]
+    pairs_ = spark.createDataFrame(rows, "record_id string, prompt string, response string, context_id string")
+    filler = " ".join("the report was sent to Lem. nobody had seen it" for _ in range(60))
+    contexts = spark.createDataFrame([("c1", "It went to Lemest broker. " + filler.replace("Lem.", "Abc.")), ("c2", "It went to Lem today.")], "context_id string, context string")
+    got = {r.record_id for r in pair_defects(pairs_, labelled, contexts).where("defect = 'truncated'").collect()}
+    assert got == {"a", "d"}
